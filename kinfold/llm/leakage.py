@@ -1,16 +1,18 @@
 """Test items whose text occurs, whole or in part, in documents.
 
 The test items make a BM25 inverted index; every passage of every document is a
-query against it. Items are put into blocks of similar length; a block's passages
-are windows of twice its longest item, a quarter of that apart. Block-max WAND over
-a batch of documents at once: per word and block the index has the greatest impact
-that the word has in an item of the block; running sums of these along the text give
-every window's upper bound for every block by one subtraction, and only windows whose
-bound reaches the least threshold of a block are scored against its items. An item's
-threshold is a share of the least score that half of it in one stretch can have, so
-slips and left-out words don't hide it. What remains is verified: the longest common
-subsequence of item and passage must have half of the item's words, with words that
-differ by one slip counted too.
+query against it. Its terms are pairs of words, next to each other or with one word
+between: single words of one trade are everywhere, pairs tell a leak from its
+surroundings, and pairs over a gap outlive a slip or an addition. Items are put into
+blocks of similar length; a block's passages are windows of twice its longest item, a
+quarter of that apart. Block-max WAND over a batch of documents at once: per term and
+block the index has the greatest impact that the term has in an item of the block;
+running sums of these along the text give every window's upper bound for every block
+by one subtraction, and only windows whose bound reaches the least threshold of a
+block are scored against its items. An item's threshold is a share of the least score
+that half of it in one stretch can have, so slips and left-out words don't hide it.
+What remains is verified: the longest common subsequence of item and passage must
+have half of the item's words, with words that differ by one slip counted too.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ BLOCK, AT_ONCE = 8, 16
 #: Share of an item's words that a passage must hold, in order.
 SHARE = 0.5
 #: An item's threshold, as a share of the least score of half of it in one stretch.
-SLACK = 0.6
+SLACK = 0.4
+#: Bits of the table that tells pairs that are in no item.
+FILTER_BITS = 22
 #: Items of one index that is sent to the executors; more make several indexes.
 INDEX_ITEMS, INDEX_CHARS = 5000, 5_000_000
 ROW = "\ue000"  # parts the texts of a batch: a private-use character, never a letter
@@ -141,7 +145,7 @@ def words_of(text: str | None) -> tuple[list[str], np.ndarray]:
 
 
 class Index:
-    """BM25 impacts of the words of up to INDEX_ITEMS items, in blocks by length."""
+    """BM25 impacts of the word pairs of up to INDEX_ITEMS items, in blocks by length."""
 
     def __init__(self, items: list[tuple[int, str]]):
         parsed = [(i, *words_of(t)) for i, t in items]
@@ -149,58 +153,101 @@ class Index:
         self.ids = [p[0] for p in parsed]
         self.words = [p[1] for p in parsed]
         self.vocabulary = np.unique(np.concatenate([p[2] for p in parsed])) if parsed else np.zeros(0, np.uint64)
-        n, v = len(parsed), len(self.vocabulary)
+        n = len(parsed)
+        self.single = any(len(w) == 1 for w in self.words)
+        pairs = [self._pairs(np.searchsorted(self.vocabulary, p[2])) for p in parsed]
+        self.keys = np.unique(np.concatenate([k for _, k in pairs])) if n else np.zeros(0, np.int64)
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self._slot(self.keys)] = True
+        terms = [(at, np.searchsorted(self.keys, k)) for at, k in pairs]
         mean = np.mean([len(w) for w in self.words]) if n else 1.0
-        self.terms = [np.searchsorted(self.vocabulary, p[2]) for p in parsed]
-        df = np.zeros(v)
-        for t in self.terms:
+        df = np.zeros(len(self.keys))
+        for _, t in terms:
             df[np.unique(t)] += 1
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.impact = np.zeros((n, v + 1), np.float32)  # the last column: words of no item
-        self.threshold = np.zeros(n, np.float32)
-        for i, t in enumerate(self.terms):
-            u, tf = np.unique(t, return_counts=True)
-            self.impact[i, u] = idf[u] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
-            half = -(-len(t) // 2)
-            stretches = [self.impact[i, np.unique(t[s : s + half])].sum() for s in range(len(t) - half + 1)]
-            self.threshold[i] = SLACK * min(stretches)
         self.blocks = [slice(b, min(b + BLOCK, n)) for b in range(0, n, BLOCK)]
-        self.block_max = np.stack([self.impact[b].max(axis=0) for b in self.blocks], axis=1) if n else np.zeros((v + 1, 0), np.float32)
+        #: Impacts per item as (terms, values), and the greatest per block.
+        self.postings, self.threshold = [], np.zeros(n)
+        self.block_max = np.zeros((len(self.keys), len(self.blocks)), np.float32)
+        for i, (at, t) in enumerate(terms):
+            u, inverse, tf = np.unique(t, return_inverse=True, return_counts=True)
+            impact = idf[u] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.words[i]) / mean))
+            self.postings.append((u, impact.astype(np.float32)))
+            self.block_max[u, i // BLOCK] = np.maximum(self.block_max[u, i // BLOCK], impact)
+            size = len(self.words[i])
+            half = -(-size // 2)
+            least = np.inf
+            for s in range(size - half + 1):
+                here = np.unique(inverse[(at >= s) & (at < s + max(half - 1, 1))])
+                least = min(least, impact[here].sum())
+            self.threshold[i] = SLACK * least
         self.block_threshold = [float(self.threshold[b].min()) for b in self.blocks]
         self.span = [2 * max(len(w) for w in self.words[b]) + 16 for b in self.blocks]
-        self.bits = []
-        for t in self.terms:
-            m: dict[int, int] = {}
-            for k, w in enumerate(t.tolist()):
-                m[w] = m.get(w, 0) | (1 << k)
-            self.bits.append(m)
+
+    def _pairs(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of pairs of known words (those of no item are ``v``). Items
+        of a single word are found by the word itself."""
+        v = len(self.vocabulary)
+        at, keys = [], []
+        known = terms < v
+        for kind, gap in enumerate((1, 2)):
+            p = np.flatnonzero(known[:-gap] & known[gap:]) if len(terms) > gap else np.zeros(0, np.int64)
+            at.append(p)
+            keys.append((terms[p] * (v + 1) + terms[p + gap]) * 3 + kind)
+        if self.single:
+            at.append(np.flatnonzero(known))
+            keys.append(terms[at[-1]] * (v + 1) * 3 + 2)
+        return np.concatenate(at), np.concatenate(keys)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         v = len(self.vocabulary)
         at = np.searchsorted(self.vocabulary, hashes)
         return np.where((at < v) & (self.vocabulary[np.minimum(at, max(v - 1, 0))] == hashes), at, v) if v else np.zeros(len(hashes), np.int64)
 
+    def hits(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, in order, and terms of the pairs that some item has."""
+        at, keys = self._pairs(terms)
+        some = self.filter[self._slot(keys)]
+        at, keys = at[some], keys[some]
+        t = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        some = self.keys[t] == keys
+        at, t = at[some], t[some]
+        order = np.argsort(at, kind="stable")
+        return at[order], t[order]
+
     def candidates(self, terms: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """``(text, item, from, to)`` of windows that reach an item's threshold.
-        ``edge``: where the texts begin in ``terms``."""
-        length = np.diff(edge)
+        ``edge``: where the texts begin in ``terms``. Texts are parted by one word of
+        no item, so that no pair reaches from one into the next."""
+        at, hit = self.hits(terms)
+        length = np.diff(edge) - 1
+        there = np.zeros(len(self.keys), bool)
         for b, (block, span) in enumerate(zip(self.blocks, self.span, strict=True)):
             if b % AT_ONCE == 0:
                 some = self.block_max[:, b : b + AT_ONCE]
-                sums = np.zeros((len(terms) + 1, some.shape[1]))
-                np.cumsum(some[terms], axis=0, dtype=np.float64, out=sums[1:])
+                sums = np.zeros((len(hit) + 1, some.shape[1]))
+                np.cumsum(some[hit], axis=0, dtype=np.float64, out=sums[1:])
             step = max(1, span // 4)
             n = np.maximum(1, -(-(length - span) // step) + 1) * (length > 0)
             text = np.repeat(np.arange(len(length)), n)
             turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             low = edge[text] + turn * step
-            high = np.minimum(low + span, edge[text + 1])
-            reach = np.flatnonzero(sums[high, b % AT_ONCE] - sums[low, b % AT_ONCE] >= self.block_threshold[b] * 0.999)
-            for w in reach.tolist():
-                words = np.unique(terms[low[w] : high[w]])
-                score = self.impact[block][:, words].sum(axis=1)
-                for i in np.flatnonzero(score >= self.threshold[block] * 0.999).tolist():
-                    yield int(text[w]), block.start + i, int(low[w]), int(high[w])
+            high = np.minimum(low + span, edge[text] + length[text])
+            first, last = np.searchsorted(at, low), np.searchsorted(at, high)
+            run = sums[:, b % AT_ONCE]
+            for w in np.flatnonzero(run[last] - run[first] >= self.block_threshold[b] * 0.999).tolist():
+                here = hit[first[w] : last[w]]
+                there[here] = True
+                for i in range(block.start, block.stop):
+                    u, impact = self.postings[i]
+                    if impact[there[u]].sum() >= self.threshold[i] * 0.999:
+                        yield int(text[w]), i, int(low[w]), int(high[w])
+                there[here] = False
 
 
 def common_words(bits: dict, n: int, words: list) -> int:
@@ -227,31 +274,47 @@ def one_slip(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i:]
 
 
-def forgiving(item: list[str], passage: list[str]) -> list[str]:
-    """The passage with words that are one slip from a word of the item, or two
-    halves of one, put right. Short words stay: they are near too many others."""
-    known = set(item)
-    by_length: dict[int, list[str]] = {}
-    for w in known:
-        if len(w) >= 4:
-            by_length.setdefault(len(w), []).append(w)
-    out, i = [], 0
-    while i < len(passage):
-        w = passage[i]
-        if w not in known:
-            both = w + passage[i + 1] if i + 1 < len(passage) else ""
-            if both in known:
-                out.append(both)
-                i += 2
-                continue
-            if len(w) >= 4:
-                w = next((k for n in (len(w), len(w) - 1, len(w) + 1) for k in by_length.get(n, ()) if one_slip(w, k)), w)
-        out.append(w)
-        i += 1
-    return out
-
+class Slips:
+    """Puts right words that are one slip from a word of the item. Short words are
+    left: they are near too many others. Candidates share a word less one letter."""
 
-def holds(item: list[str], passage: list[str]) -> bool:
+    def __init__(self, item: list[str]):
+        self.known = set(item)
+        self.less: dict[str, list[str]] = {}
+        self.seen: dict[str, str] = {}
+        for w in sorted(self.known):
+            if len(w) >= 4:
+                for x in self._less(w):
+                    self.less.setdefault(x, []).append(w)
+
+    @staticmethod
+    def _less(w: str) -> set[str]:
+        return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+    def right(self, w: str) -> str:
+        if w in self.known or not 4 <= len(w) <= 60:
+            return w
+        if w not in self.seen:
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            near = (k for x in self._less(w) for k in self.less.get(x, ()) if one_slip(w, k))
+            self.seen[w] = min(near, default=w)
+        return self.seen[w]
+
+    def passage(self, words: list[str]) -> list[str]:
+        """Each word put right, and two halves of a word put together."""
+        out, i = [], 0
+        while i < len(words):
+            w = words[i]
+            if w not in self.known and i + 1 < len(words) and w + words[i + 1] in self.known:
+                w += words[i + 1]
+                i += 1
+            out.append(self.right(w))
+            i += 1
+        return out
+
+
+def holds(item: list[str], passage: list[str], slips: Slips | None = None) -> bool:
     """Some stretch of one and a half times the item's length has SHARE of its
     words in order."""
     n = len(item)
@@ -259,7 +322,7 @@ def holds(item: list[str], passage: list[str]) -> bool:
     bits: dict[str, int] = {}
     for k, w in enumerate(item):
         bits[w] = bits.get(w, 0) | (1 << k)
-    passage = forgiving(item, passage)
+    passage = (slips or Slips(item)).passage(passage)
     if common_words(bits, n, passage) < need:
         return False
     step = max(1, n // 8)
@@ -269,30 +332,23 @@ def holds(item: list[str], passage: list[str]) -> bool:
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
+        slips: dict[int, Slips] = {}
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_pylist()
                 text = plain(ROW.join((t or "").replace(ROW, " ") for t in part.column("text").to_pylist()) + ROW)
                 letters, begin, end = fold(text)
-                rows = letters[begin] == 2
-                hashes = hash_words(letters, begin, end)
-                ends = np.flatnonzero(rows)  # the last word of each text is its mark
-                words_only = ~rows
-                edge = np.r_[0, np.cumsum(words_only)[ends]]
-                begin, end, terms = begin[words_only], end[words_only], index.look_up(hashes[words_only])
+                marks = letters[begin] == 2  # the last word of each text
+                terms = index.look_up(hash_words(letters, begin, end))
+                terms[marks] = len(index.vocabulary)
+                edge = np.r_[0, np.flatnonzero(marks) + 1]
                 found: set[tuple[int, int]] = set()
-                weak: set[tuple[int, int, int]] = set()
                 for r, i, low, high in index.candidates(terms, edge):
-                    if (r, i) in found:
-                        continue
-                    n = len(index.words[i])
-                    got = common_words(index.bits[i], n, terms[low:high].tolist())
-                    if got < 0.3 * n:  # slips and halves cannot make up for more
-                        continue
-                    if (r, i, low) not in weak:
-                        weak.add((r, i, low))
+                    if (r, i) not in found:
                         passage = ["".join(map(chr, letters[b:e])) for b, e in zip(begin[low:high], end[low:high], strict=True)]
-                        if holds(index.words[i], passage):
+                        if i not in slips:
+                            slips[i] = Slips(index.words[i])
+                        if holds(index.words[i], passage, slips[i]):
                             found.add((r, i))
                 if found:
                     yield pa.RecordBatch.from_arrays(
