@@ -36,17 +36,18 @@ def one_row_per_id(df: DataFrame, key: str, latest: str | None = None) -> DataFr
     of the row, so that any partitioning gives the same row."""
     cols = [c for c in df.columns if c != key]
     order = F.struct(*([F.col(latest)] if latest else []), F.xxhash64(*cols) if cols else F.lit(0))
-    kept = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r"))
-    return kept.select(key, "_r.*")
-
-
-def usable_proteins(proteins: DataFrame, *extra: str) -> DataFrame:
-    """``(pid, seq, n, *extra)``: one row per protein whose clean sequence has 20
-    to 512 residues. Rows with a null ``pid`` belong to no protein."""
-    slim = proteins.select(
-        "pid", "loaded_at", clean_sequence(F.col("sequence")).alias("seq"), *extra
-    ).where(length_ok(F.col("seq")))
-    return one_row_per_id(slim, "pid", "loaded_at").select("pid", "seq", F.length("seq").alias("n"), *extra)
+    kept = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("__kf_r"))
+    return kept.select(key, "__kf_r.*")
+
+
+def usable_proteins(proteins: DataFrame, *extra: str, with_seq: bool = True) -> DataFrame:
+    """``(pid, [seq,] n, *extra)``: one row per protein whose clean sequence has 20
+    to 512 residues. Rows with a null ``pid`` belong to no protein. Without ``seq``
+    only lengths are shuffled."""
+    own = ["seq", "n"] if with_seq else ["n"]
+    cleaned = proteins.withColumn("seq", clean_sequence(F.col("sequence"))).where(length_ok(F.col("seq")))
+    slim = cleaned.select("pid", "loaded_at", F.length("seq").alias("n"), *(["seq"] if with_seq else []), *extra)
+    return one_row_per_id(slim, "pid", "loaded_at").select("pid", *own, *extra)
 
 
 def kmers(seq: Column, k: int) -> Column:

@@ -44,7 +44,8 @@ def mean_pool_inner(tokens: Column, dim: int) -> Column:
 def maxsim(query: Column, doc: Column) -> Column:
     """Sum over query tokens of the greatest dot product with a document token. Not
     symmetric, not divided by length; null for a document without tokens."""
-    return total(F.transform(query, lambda q: F.array_max(F.transform(doc, lambda d: dot(q, d)))))
+    score = total(F.transform(query, lambda q: F.array_max(F.transform(doc, lambda d: dot(q, d)))))
+    return F.when(F.size(doc) > 0, score)
 
 
 def signature_agreement(a: Column, b: Column) -> Column:

@@ -34,8 +34,8 @@ def split_groups(df: DataFrame, label: str, test_frac: float = 0.15, min_members
     and so all their members, are on one side."""
     groups = group_sizes(df, label).where(F.col("n") >= min_members).select(label)
     numbered = hashed_numbers(groups, [], label, seed)
-    n_test = groups.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(float(test_frac)))).alias("_t"))  # one row
-    return numbered.crossJoin(F.broadcast(n_test)).select(label, F.when(F.col("rn") <= F.col("_t"), "test").otherwise("train").alias("part"))
+    n_test = groups.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(float(test_frac)))).alias("__kf_t"))  # one row
+    return numbered.crossJoin(F.broadcast(n_test)).select(label, F.when(F.col("rn") <= F.col("__kf_t"), "test").otherwise("train").alias("part"))
 
 
 def subsample(df: DataFrame, label: str, id_col: str, budget: int, per_group: int = 2, seed: int = 42) -> DataFrame:
@@ -45,8 +45,8 @@ def subsample(df: DataFrame, label: str, id_col: str, budget: int, per_group: in
     df = df.where(F.col(label).isNotNull())
     sure = first_rows(df, [label], [hash_order(seed, F.col(id_col)), F.col(id_col)], per_group)
     rest = df.join(sure.select(id_col), id_col, "left_anti")
-    room = sure.agg(F.greatest(F.lit(budget) - F.count(F.lit(1)), F.lit(0)).alias("_room"))  # one row
-    more = hashed_numbers(rest, [], id_col, seed + 1, "_rn").crossJoin(F.broadcast(room)).where(F.col("_rn") <= F.col("_room"))
+    room = sure.agg(F.greatest(F.lit(budget) - F.count(F.lit(1)), F.lit(0)).alias("__kf_room"))  # one row
+    more = hashed_numbers(rest, [], id_col, seed + 1, "__kf_rn").crossJoin(F.broadcast(room)).where(F.col("__kf_rn") <= F.col("__kf_room"))
     return sure.unionByName(more.select(*sure.columns))
 
 
@@ -57,14 +57,14 @@ def training_pairs(df: DataFrame, label: str, id_col: str, seed: int = 42) -> Da
     picks two numbers, so a draw costs the same in a group of any size."""
     sizes = group_sizes(df, label).where("n >= 2")
     groups = hashed_numbers(sizes, [], label, seed, "g")
-    count = groups.agg(F.count(F.lit(1)).alias("_groups"))  # one row
+    count = groups.agg(F.count(F.lit(1)).alias("__kf_groups"))  # one row
     members = hashed_numbers(df.where(F.col(label).isNotNull()).select(label, id_col), [label], id_col, seed, "m")
     large = members.join(sizes, label)
     number = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{salt}:"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
     draws = hashed_numbers(large.select(id_col), [], id_col, seed, "draw").select("draw")
     picked = (
         draws.crossJoin(F.broadcast(count))
-        .withColumn("g", number("g") % F.col("_groups") + 1)
+        .withColumn("g", number("g") % F.col("__kf_groups") + 1)
         .join(groups, "g")
         .withColumn("i", number("i") % F.col("n"))
         .withColumn("j", (F.col("i") + 1 + number("j") % (F.col("n") - 1)) % F.col("n"))

@@ -20,28 +20,28 @@ def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     """Row numbers from 1 within ``keys`` (or over all rows) by ``order``. ``bucket``
     must not fall as ``order`` rises: rows are counted per bucket, the counts added
     up, and only rows of one bucket are ranked together."""
-    own = [F.lit(1).alias("_all")] if not keys else []
-    by = [*(list(keys) or ["_all"]), "_b"]
-    rows = df.select("*", *own).withColumn("_b", bucket)
-    counts = rows.groupBy(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)]).agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*[f"_o{i}" for i in range(len(by) - 1)]).orderBy(f"_o{len(by) - 1}").rowsBetween(Window.unboundedPreceding, -1)
-    offset = counts.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0)))
-    joined = rows.join(offset, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(by)]))
+    own = [F.lit(1).alias("__kf_all")] if not keys else []
+    by = [*(list(keys) or ["__kf_all"]), "__kf_b"]
+    rows = df.select("*", *own).withColumn("__kf_b", bucket)
+    counts = rows.groupBy(*[F.col(c).alias(f"__kf_o{i}") for i, c in enumerate(by)]).agg(F.count(F.lit(1)).alias("__kf_n"))
+    run = Window.partitionBy(*[f"__kf_o{i}" for i in range(len(by) - 1)]).orderBy(f"__kf_o{len(by) - 1}").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.withColumn("__kf_off", F.coalesce(F.sum("__kf_n").over(run), F.lit(0)))
+    joined = rows.join(offset, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__kf_o{i}")) for i, c in enumerate(by)]))
     w = Window.partitionBy(*by).orderBy(*order)
-    return joined.withColumn(name, F.col("_off") + F.row_number().over(w)).select(*df.columns, name)
+    return joined.withColumn(name, F.col("__kf_off") + F.row_number().over(w)).select(*df.columns, name)
 
 
 def hashed_numbers(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, name: str = "rn") -> DataFrame:
     """:func:`number_rows` in :func:`hash_order` of ``id_col``."""
-    h = df.withColumn("_h", hash_order(seed, F.col(id_col)))
-    return number_rows(h, keys, F.substring("_h", 1, 3), [F.col("_h"), F.col(id_col)], name).drop("_h")
+    h = df.withColumn("__kf_h", hash_order(seed, F.col(id_col)))
+    return number_rows(h, keys, F.substring("__kf_h", 1, 3), [F.col("__kf_h"), F.col(id_col)], name).drop("__kf_h")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group. A bound on the rank lets Spark keep n rows
     per group and map task before the shuffle, so a large group is no burden."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n).drop("_rk")
+    return df.withColumn("__kf_rk", F.row_number().over(w)).where(F.col("__kf_rk") <= n).drop("__kf_rk")
 
 
 def hashed_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:

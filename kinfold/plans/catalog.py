@@ -31,7 +31,7 @@ def _queries(corpus: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The middle protein by length of each superfamily."""
-    usable = usable_proteins(table(spark, d, "proteins"), "superfamily")
+    usable = usable_proteins(table(spark, d, "proteins"), "superfamily", with_seq=False)
     rows = usable.select(superfamily_key(F.col("superfamily")).alias("superfamily"), "pid", "n")
     return middle_rows(rows, "superfamily", "n", "pid", Scratch(spark, "p2"))
 
@@ -39,7 +39,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_hit_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hits and summed e-values by superfamily of the target: hits per target and
     proteins per id are aggregated before they are joined."""
-    p = usable_proteins(table(spark, d, "proteins"), "superfamily").select(F.col("pid").alias("target"), superfamily_key(F.col("superfamily")).alias("superfamily"))
+    p = usable_proteins(table(spark, d, "proteins"), "superfamily", with_seq=False).select(F.col("pid").alias("target"), superfamily_key(F.col("superfamily")).alias("superfamily"))
     h = table(spark, d, "hits").select("target", "evalue")
     out = eager_join_aggregate(h, p, "target", ["superfamily"], left_sums={"e": F.col("evalue")})
     return out.select("superfamily", F.col("n_pairs").alias("n_hits"), F.round(F.col("e"), 3).alias("sum_evalue"))
@@ -48,7 +48,7 @@ def p2_hit_counts(spark: SparkSession, d: str) -> DataFrame:
 def p2_family_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of proteins with one family key, per superfamily of the second: counts
     are multiplied, no pair is formed."""
-    p = usable_proteins(table(spark, d, "proteins"), "superfamily", "family").select(
+    p = usable_proteins(table(spark, d, "proteins"), "superfamily", "family", with_seq=False).select(
         "n", superfamily_key(F.col("superfamily")).alias("superfamily"), family_key(F.col("family")).alias("family"))
     out = eager_join_aggregate(p, p, "family", ["superfamily"], left_sums={"l": F.col("n")}, right_sums={"r": F.col("n")})
     return out.select("superfamily", "n_pairs", F.col("l").alias("sum_left"), F.col("r").alias("sum_right"))
@@ -150,8 +150,8 @@ def label_keys(spark: SparkSession, d: str) -> DataFrame:
                     F.substring_index("family", ".", 3).alias("prefix"), F.substring_index("family", ".", 1).alias("accession"))
 
 
-def _usable(spark: SparkSession, d: str, *extra: str) -> DataFrame:
-    return usable_proteins(table(spark, d, "proteins"), *extra)
+def _usable(spark: SparkSession, d: str, *extra: str, with_seq: bool = True) -> DataFrame:
+    return usable_proteins(table(spark, d, "proteins"), *extra, with_seq=with_seq)
 
 
 def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +208,7 @@ def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return _usable(spark, d, "superfamily").select("pid", "n", superfamily_key(F.col("superfamily")).alias("label")).where("label is not null")
+    return _usable(spark, d, "superfamily", with_seq=False).select("pid", "n", superfamily_key(F.col("superfamily")).alias("label")).where("label is not null")
 
 
 def group_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -247,14 +247,14 @@ def first_n_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_stats(spark: SparkSession, d: str) -> DataFrame:
     """Greatest token count per batch of 32 proteins in order of id."""
-    numbered = ordering.number_rows(_usable(spark, d).select("pid", "n"), [], F.shiftright("pid", 10), [F.col("pid")])
+    numbered = ordering.number_rows(_usable(spark, d, with_seq=False).select("pid", "n"), [], F.shiftright("pid", 10), [F.col("pid")])
     return numbered.groupBy(F.expr("(rn - 1) div 32").alias("batch")).agg(F.max(F.least(F.col("n") + 2, F.lit(256))).alias("max_tokens"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def fk_join(spark: SparkSession, d: str) -> DataFrame:
     """Proteins with the clan of their family: the last line with one counts."""
     lines = table(spark, d, "clan_map").select("line_no", family_key(F.col("family")).alias("family"), "clan")
-    p = _usable(spark, d, "family").select("pid", family_key(F.col("family")).alias("family"))
+    p = _usable(spark, d, "family", with_seq=False).select("pid", family_key(F.col("family")).alias("family"))
     return p.join(hits.last_mapping(lines, "family", "clan", "line_no"), "family").select("pid", "family", "clan")
 
 
