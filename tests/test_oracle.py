@@ -25,3 +25,19 @@ def test_entry_and_optional_part(spark, monkeypatch):
     monkeypatch.setitem(sys.modules, "kinfold.llm", None)
     assert set(e.queries()) == set(catalog.QUERIES)
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as e
+from kinfold.session import local_session
+print('ROWS', e.queries()['minhash_sig'](local_session('2', 2), {FOLDER!r}).count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
