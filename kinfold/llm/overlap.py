@@ -93,7 +93,7 @@ def smaller_side(k: int, c: Fraction, frequent: np.ndarray):
     return run
 
 
-def larger_side(k: int, lengths: list[int]):
+def larger_side(k: int, m: int):
     """``(m, gram, id, size)``: every walk of m k-mers, each overlapping the next
     by k - 1 letters, within the set."""
 
@@ -109,19 +109,16 @@ def larger_side(k: int, lengths: list[int]):
                 low = np.searchsorted(key, row * K.BASE**k + (code % span) * K.BASE)
                 high = np.searchsorted(key, row * K.BASE**k + (code % span + 1) * K.BASE)
                 end, gram, start = np.arange(len(key)), code, row
-                for m in range(1, max(lengths) + 1):
-                    if m > 1:  # one step further
-                        ways = (high - low)[end]
-                        turn = np.arange(ways.sum()) - np.repeat(np.cumsum(ways) - ways, ways)
-                        nxt = np.repeat(low[end], ways) + turn
-                        gram, start = np.repeat(gram, ways) * K.BASE + code[nxt] % K.BASE, np.repeat(start, ways)
-                        end = nxt
-                    if m in lengths and len(gram):
-                        for i in range(0, len(gram), 500_000):
-                            r = start[i : i + 500_000]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(r), m, np.int32)), pa.array(gram[i : i + 500_000]), pa.array(ids[r]), pa.array(sizes[r])],
-                                names=["m", "gram", "id", "size"])
+                for _ in range(m - 1):  # one step further
+                    ways = (high - low)[end]
+                    turn = np.arange(ways.sum()) - np.repeat(np.cumsum(ways) - ways, ways)
+                    nxt = np.repeat(low[end], ways) + turn
+                    gram, start, end = np.repeat(gram, ways) * K.BASE + code[nxt] % K.BASE, np.repeat(start, ways), nxt
+                for i in range(0, len(gram), 500_000):
+                    r = start[i : i + 500_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(r), m, np.int32)), pa.array(gram[i : i + 500_000]), pa.array(ids[r]), pa.array(sizes[r])],
+                        names=["m", "gram", "id", "size"])
 
     return run
 
@@ -176,16 +173,18 @@ class SplitOverlap:
         met = []
         for few, many in (("eval", "train"), ("train", "eval")):
             lengths = sorted(r[0] for r in small[few].select("m").distinct().collect())  # at most LONGEST_RUN
-            if not lengths:
-                continue
-            large = side(many).mapInArrow(larger_side(k, lengths), GRAMS)
-            a = small[few].select("m", "gram", F.col("id").alias(few), F.col("size").alias("_s"))
-            b = large.select("m", "gram", F.col("id").alias(many), F.col("size").alias("_l"))
-            met.append(a.join(b, ["m", "gram"]).where("_s <= _l").select(F.col("eval").alias("e"), F.col("train").alias("t")))
-        if met:
-            near = met[0] if len(met) == 1 else met[0].unionByName(met[1])
-        else:
-            near = spark.createDataFrame([], "e long, t long")
+            for m in lengths:
+                # texts of few different k-mers have shorter runs; they are rare, and a
+                # table of their own has a size by which Spark may choose to broadcast it
+                own = small[few].where(F.col("m") == m)
+                own = own if m == LONGEST_RUN else scratch.write(own.coalesce(1), f"small_{few}_{m}")
+                large = side(many).mapInArrow(larger_side(k, m), GRAMS)
+                a = own.select("gram", F.col("id").alias(few), F.col("size").alias("_s"))
+                b = large.select("gram", F.col("id").alias(many), F.col("size").alias("_l"))
+                met.append(a.join(b, "gram").where("_s <= _l").select(F.col("eval").alias("e"), F.col("train").alias("t")))
+        near = spark.createDataFrame([], "e long, t long")
+        for pairs in met:
+            near = near.unionByName(pairs)
         near = scratch.write(near.distinct(), "near")
         seq = lambda key, s: reps.select(F.col("id").alias(key), F.col("seq").alias(f"seq_{s}"))
         exact = near.join(seq("e", "a"), "e").join(seq("t", "b"), "t").select("e", "t", "seq_a", "seq_b")
