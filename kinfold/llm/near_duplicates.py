@@ -4,7 +4,7 @@ Texts are sets of k-mers. Let ``a`` and ``b`` be two sets' sizes and ``t`` the
 Jaccard threshold; similar sets share at least ``T = ceil(t (a + b) / (1 + t))``
 k-mers, so their symmetric difference has at most ``D = a + b - 2T``.
 
-*Parity sketch.* Each k-mer flips one of 256 bits. The XOR of two sketches is the
+*Parity sketch.* Each k-mer flips one of 512 bits. The XOR of two sketches is the
 sketch of the symmetric difference, so its bit count is a lower bound of the
 difference's size: a pair with more than ``D`` bits is rejected unread.
 
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from kinfold.functions import kmers as K
 from kinfold.session import Scratch
 
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
+BITS = 64 * SKETCH_WORDS
 #: Sequences in the sample that frequent k-mers are taken from, and the share of
 #: them from which a k-mer counts as frequent. They steer the order only.
 SAMPLE_ROWS, FREQUENT = 4096, 0.005
@@ -75,7 +76,7 @@ def describe(k: int):
     """Per text: set size, 128-bit fingerprint of the set, parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             seq = batch.column("seq")
             row, code, size = _sets(seq, k)
             n, h = len(seq), K.mix(code)
@@ -86,7 +87,7 @@ def describe(k: int):
                 if len(row):
                     acc[row[starts]] = np.add.reduceat(K.mix(code, salt), starts)
                 prints.append(acc.astype(np.int64))
-            flips = np.bincount(row * 256 + (h & np.uint64(255)).astype(np.int64), minlength=n * 256).reshape(n, SKETCH_WORDS, 64) & 1
+            flips = np.bincount(row * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=n * BITS).reshape(n, SKETCH_WORDS, 64) & 1
             words = (flips.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(np.int64)
             cols = [batch.column("id"), seq, pa.array(size.astype(np.int32))]
             cols += [pa.array(x) for x in (*prints, *words.T)]
