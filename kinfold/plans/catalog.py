@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import vectors as V
 from kinfold.functions.labels import family_key, family_key_sql, superfamily_key, superfamily_key_sql
 from kinfold.functions.sequences import RESIDUES, clean_sequence, clean_sequence_sql, is_strict, kmers, length_ok, usable_proteins
-from kinfold.operators import evaluate, groups, hits, minhash, ordering, search
+from kinfold.operators import align, evaluate, groups, hits, kmer_index, minhash, ordering, search
 from kinfold.operators.encode import tokenize
 from kinfold.operators.skew import eager_join_aggregate, middle_rows
 from kinfold.session import Scratch, table
@@ -204,6 +204,20 @@ def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return minhash.exact_jaccard(_queries(grams), grams).select("qid", "did", F.round("jaccard", 6).alias("jaccard"))
 
 
+def kmer_index_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Proteins that share at least two 5-mers with a query, by way of the index."""
+    scratch = Scratch(spark, "index")
+    texts = _usable(spark, d).select(F.col("pid").alias("id"), "seq")
+    kmer_index.build(texts, f"{scratch.root}/index")
+    return kmer_index.shared_kmers(spark, f"{scratch.root}/index", _queries(texts), least=2)
+
+
+def align_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Best local alignments; no SQL, the scores are tested against the full table."""
+    texts = _usable(spark, d).select(F.col("pid").alias("id"), "seq")
+    return align.align_top_k(_queries(texts), texts)
+
+
 # --- groups, splits, samples --------------------------------------------------
 
 
@@ -346,7 +360,7 @@ QUERIES = {
     for f in (
         p2_found, p2_hit_counts, p2_family_pairs, topk_dot, topk_cosine, topk_maxsim, maxsim_scores, topk_single_query, recall_dot,
         recall_cosine, recall_maxsim, meanpool, meanpool_no_special, l2_normalize, clean_sequences, label_keys, kmer_counts,
-        kmer_frequencies, token_counts, minhash_sig, minhash_topk, recall_minhash, exact_jaccard, group_sizes, group_profile,
+        kmer_frequencies, token_counts, minhash_sig, minhash_topk, recall_minhash, exact_jaccard, kmer_index_hits, align_topk, group_sizes, group_profile,
         min_group_filter, group_split, stratified_subsample, pair_sample, sample_queries, first_n_per_group, batch_stats, fk_join,
         infonce_loss, loss_ema, latency_median, hits_rank, hits_rank_all, recall_hits, recall_hits_dedup, summary_pivot,
         combined_summary, fasta_roundtrip,
@@ -445,6 +459,7 @@ ORACLE = {
     "recall_minhash": _recall_sql("minhash", "select pid id, superfamily as label from usable"),
     "exact_jaccard": f"""with {GRAMS}, z as (select pid, count(*) n from grams group by pid), b as (select q.pid qid, d.pid did, count(*) c from grams q join grams d on q.g = d.g and q.pid <> d.pid where q.pid % 50 = 0 group by all)
   select qid, did, round(c / (x.n + y.n - c)::double, 6) jaccard from b join z x on x.pid = qid join z y on y.pid = did""",
+    "kmer_index_hits": f"with {GRAMS} select q.pid qid, d.pid did, count(*) n from grams q join grams d on q.g = d.g and q.pid <> d.pid where q.pid % 50 = 0 group by all having count(*) >= 2",
     "group_sizes": f"with {LABELLED} select label, count(*) n from labelled group by 1",
     "group_profile": f"""with {LABELLED}, g as (select count(*) n from labelled group by label)
   select (select floor(median(n))::int from labelled) median_length, (select max(n)::bigint from labelled) max_length, (select floor(median(n))::int from g) median_group, (select max(n) from g) max_group, (select count(*) from g) n_group""",
