@@ -44,7 +44,7 @@ BITS = 64 * SKETCH_WORDS
 #: them from which a k-mer counts as frequent. They steer the order only.
 SAMPLE_ROWS, FREQUENT = 4096, 0.005
 #: Join keys per shuffle partition.
-KEYS_PER_PARTITION = 4_000_000
+KEYS_PER_PARTITION = 2_000_000
 
 
 def least_shared(a, b, t: Fraction):
@@ -66,6 +66,13 @@ def in_band(a: np.ndarray, k: int, t: Fraction) -> np.ndarray:
     return (least_shared(a, high, t) >= k) & (least_shared(a, low, t) < 2 * k) & (a >= k)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Bounds what is held at once."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def _sets(column: pa.Array, k: int):
     row, code = K.distinct_sets(*[K.windows(*K.residues(column), k)[i] for i in (0, 2)], k)
     size = np.bincount(row, minlength=len(column)) if len(column) else np.zeros(0, np.int64)
@@ -76,7 +83,7 @@ def describe(k: int):
     """Per text: set size, 128-bit fingerprint of the set, parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
+        for batch in small(batches, 1000):
             seq = batch.column("seq")
             row, code, size = _sets(seq, k)
             n, h = len(seq), K.mix(code)
@@ -135,22 +142,20 @@ def join_keys(k: int, t: Fraction, frequent: np.ndarray):
         return np.concatenate(out_row), np.concatenate(out_sig)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):  # bounds what is held at once
-                batch = whole.slice(at, 1000)
-                row, code, size = _sets(batch.column("seq"), k)
-                ids = np.asarray(batch.column("id"))
-                h = K.mix(code, 7)
-                last = np.isin(code, frequent).astype(np.uint64) if len(frequent) else np.zeros(len(code), np.uint64)
-                rank_key = (h >> np.uint64(1)) | (last << np.uint64(63))
-                for band in bands(size, t):
-                    takes = in_band(size, band, t)
-                    if not takes.any():
-                        continue
-                    some = takes[row]
-                    r, sig = of_band(row[some], h[some], rank_key[some], size, band)
-                    if len(r):
-                        yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(ids[r])], names=["sig", "id"])
+        for batch in small(batches, 500):
+            row, code, size = _sets(batch.column("seq"), k)
+            ids = np.asarray(batch.column("id"))
+            h = K.mix(code, 7)
+            last = np.isin(code, frequent).astype(np.uint64) if len(frequent) else np.zeros(len(code), np.uint64)
+            rank_key = (h >> np.uint64(1)) | (last << np.uint64(63))
+            for band in bands(size, t):
+                takes = in_band(size, band, t)
+                if not takes.any():
+                    continue
+                some = takes[row]
+                r, sig = of_band(row[some], h[some], rank_key[some], size, band)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(ids[r])], names=["sig", "id"])
 
     return run
 
@@ -177,7 +182,7 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_jaccard(k: int, t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1000):
             a, b, both = K.common_counts(batch.column("seq_a"), batch.column("seq_b"), k)
             union = a + b - both
             ok = (both * t.denominator >= union * t.numerator) & (union > 0)
@@ -227,7 +232,7 @@ class NearDuplicates:
         again = scratch.write(again, "again")
 
         slim = reps.select("id", "size", *[f"w{i}" for i in range(SKETCH_WORDS)])
-        lit = again.distinct().join(slim, "id")
+        lit = again.join(slim, "id").repartition(parts, "sig")
         side = lambda s: lit.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in slim.columns])
         apart = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH_WORDS)), F.lit(0))
         num, den = t.numerator, t.numerator + t.denominator
