@@ -81,18 +81,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps per evaluation split and source of the evaluation protein."""
-    labels = usable_proteins(table(spark, d, "proteins"), "source_db").select(F.col("pid").alias("id"), "source_db")
+    labels = usable_proteins(table(spark, d, "proteins"), "source_db", with_seq=False).select(F.col("pid").alias("id"), "source_db")
     return _overlap(spark, d).counts(labels, ["split", "source_db"])
 
 
 def p4_by_superfamily(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps per superfamily key of the evaluation protein."""
-    labels = usable_proteins(table(spark, d, "proteins"), "superfamily").select(F.col("pid").alias("id"), superfamily_key(F.col("superfamily")).alias("superfamily"))
+    labels = usable_proteins(table(spark, d, "proteins"), "superfamily", with_seq=False).select(F.col("pid").alias("id"), superfamily_key(F.col("superfamily")).alias("superfamily"))
     return _overlap(spark, d).counts(labels, ["superfamily"])
 
 
 def _quotas(spark: SparkSession, d: str) -> QuotaSample:
-    records = usable_proteins(table(spark, d, "proteins"), "superfamily").select(F.col("pid").alias("id"), superfamily_key(F.col("superfamily")).alias("leaf"))
+    records = usable_proteins(table(spark, d, "proteins"), "superfamily", with_seq=False).select(F.col("pid").alias("id"), superfamily_key(F.col("superfamily")).alias("leaf"))
     mix = table(spark, d, "target_mix")
     # a label that is there but names nothing is no category, nor is it the rest
     key = superfamily_key(F.col("superfamily"))
@@ -117,7 +117,9 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def _limit(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
     r = table(spark, d, "size_limits").where(F.col("purpose") == purpose).first()
-    return r["max_tokens"], r["overlap_tokens"]
+    if r is None or r["max_tokens"] is None:
+        raise ValueError(f"size_limits has no limit for {purpose!r}")
+    return r["max_tokens"], r["overlap_tokens"] or 0
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
