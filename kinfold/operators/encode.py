@@ -63,6 +63,28 @@ def encode_tokens(texts: DataFrame, encoder: Encoder) -> DataFrame:
     return texts.select("id", "seq").where("seq is not null").mapInArrow(run, "id long, toks array<array<float>>")
 
 
+def encode_pooled(texts: DataFrame, encoder: Encoder, inner: bool = False) -> DataFrame:
+    """``(id, vec)``: the mean of all token vectors; with ``inner`` that of the tokens
+    between the special ones, at unit length. Zeros if there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                vec, n = encoder.encode(batch.column("seq"))
+                low, high = np.cumsum(n) - n, np.cumsum(n)
+                if inner:
+                    low, high = low + 1, np.maximum(high - 1, low + 1)
+                run_sum = np.vstack([np.zeros((1, encoder.dim)), np.cumsum(vec, axis=0, dtype=np.float64)])
+                pooled = (run_sum[high] - run_sum[low]) / np.maximum(high - low, 1)[:, None]
+                if inner:
+                    pooled /= np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)
+                lists = pa.ListArray.from_arrays(np.arange(0, pooled.size + 1, encoder.dim, dtype=np.int32), pooled.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "vec"])
+
+    return texts.select("id", "seq").where("seq is not null").mapInArrow(run, "id long, vec array<double>")
+
+
 def tokenize(seq: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """Residues between the special tokens, cut to ``max_tokens``; no padding."""
     letters = F.filter(F.split(seq, ""), lambda x: x != "")

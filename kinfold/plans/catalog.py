@@ -13,8 +13,9 @@ from kinfold.functions import vectors as V
 from kinfold.functions.labels import family_key, family_key_sql, superfamily_key, superfamily_key_sql
 from kinfold.functions.sequences import RESIDUES, clean_sequence, clean_sequence_sql, is_strict, kmers, length_ok, usable_proteins
 from kinfold.operators import align, evaluate, groups, hits, kmer_index, minhash, ordering, search
-from kinfold.operators.encode import tokenize
+from kinfold.operators.encode import HashEncoder, encode_pooled, tokenize
 from kinfold.operators.skew import eager_join_aggregate, middle_rows
+from kinfold.plans.experiment import experiment
 from kinfold.session import Scratch, table
 from kinfold.sources.fasta import read_fasta, write_fasta
 
@@ -345,6 +346,19 @@ def combined_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.summary(_all_recalls(spark, d), timed)
 
 
+def recall_encoded(spark: SparkSession, d: str) -> DataFrame:
+    """Mean vectors of a stand-in encoder, by cosine; no SQL, as the encoder has none."""
+    texts = Scratch(spark, "encoded").write(_texts(spark, d), "texts")
+    vecs = encode_pooled(texts, HashEncoder(), inner=True)
+    return _recall(_top(Scratch(spark, "encoded").write(vecs, "vecs"), search.cosine_block), texts)
+
+
+def experiment_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evaluation with the stand-in encoder, 300 test proteins sampled."""
+    p = _texts(spark, d).select(F.col("id").alias("pid"), "seq", "label")
+    return experiment(p, HashEncoder(16), Scratch(spark, "experiment"), max_test=300, outside_hits=table(spark, d, "hits"))
+
+
 # --- files --------------------------------------------------------------------
 
 
@@ -363,7 +377,7 @@ QUERIES = {
         kmer_frequencies, token_counts, minhash_sig, minhash_topk, recall_minhash, exact_jaccard, kmer_index_hits, align_topk, group_sizes, group_profile,
         min_group_filter, group_split, stratified_subsample, pair_sample, sample_queries, first_n_per_group, batch_stats, fk_join,
         infonce_loss, loss_ema, latency_median, hits_rank, hits_rank_all, recall_hits, recall_hits_dedup, summary_pivot,
-        combined_summary, fasta_roundtrip,
+        combined_summary, recall_encoded, experiment_summary, fasta_roundtrip,
     )
 }
 

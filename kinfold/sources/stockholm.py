@@ -31,13 +31,13 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File):
         opener = gzip.open if partition.path.endswith(".gz") else open
         acc = name = None
-        pending: list[tuple[int, str, str]] = []
+        pending: list[tuple[int, str | None, str | None]] = []
         with opener(partition.path, "rt", encoding="latin-1") as lines:
             for no, line in enumerate(lines, 1):
                 line = line.rstrip()
                 if line.startswith("# STOCKHOLM") or line == "//":
                     if line == "//":
-                        for at, sid, gapped in pending:
+                        for at, sid, gapped in [*pending, (no, None, None)]:
                             yield partition.path, at, acc, name, sid, gapped
                     acc, name, pending = None, None, []
                 elif line.startswith("#=GF AC"):
@@ -51,8 +51,8 @@ class _Reader(DataSourceReader):
 
 
 class StockholmSource(DataSource):
-    """``spark.read.format("stockholm")``: a row per sequence line of a closed block.
-    Interleaved lines stay apart. A compressed file is one task, as it can't be
+    """``spark.read.format("stockholm")``: a row per sequence line of a closed block,
+    and one without ``sid`` for the line that closes it. Interleaved lines stay apart. A compressed file is one task, as it can't be
     split; give many files, and repartition after reading. Paths must be visible to
     the executors."""
 
@@ -85,7 +85,14 @@ def clan_members(sequences: DataFrame, clans: DataFrame, per_family: int = 50) -
     """``(sid, sequence, superfamily, family, family_name)``: families with a clan, the
     first ``per_family`` lines of each, repaired (only residues kept), then those of
     20 to 512 residues. The cut comes before the length filter."""
-    first = first_rows(sequences.where("family is not null"), ["file", "family"], [F.col("line_no")], per_family)
+    first = first_rows(sequences.where("family is not null and sid is not null"), ["file", "family"], [F.col("line_no")], per_family)
     mapped = first.join(last_mapping(clans, "family", "clan", "line_no"), "family")
     return mapped.select("sid", clean_sequence(F.col("gapped")).alias("sequence"), F.col("clan").alias("superfamily"), "family",
                          F.coalesce("family_name", F.lit("")).alias("family_name")).where(length_ok(F.col("sequence")))
+
+
+def block_counts(sequences: DataFrame, clans: DataFrame) -> DataFrame:
+    """One row: closed blocks, and those whose family has a clan."""
+    ends = sequences.where("sid is null").select("family")
+    known = last_mapping(clans, "family", "clan", "line_no")
+    return ends.join(known, "family", "left").agg(F.count(F.lit(1)).alias("n_blocks"), F.count("clan").alias("n_clan_blocks"))

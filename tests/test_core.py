@@ -12,11 +12,13 @@ from kinfold.functions import vectors as V
 from kinfold.functions.labels import family_key, superfamily_key
 from kinfold.functions.sequences import RESIDUES, clean_sequence, is_strict, kmers, usable_proteins
 from kinfold.operators import evaluate, groups, hits, minhash, ordering, search
-from kinfold.operators.encode import HashEncoder, encode_tokens, tokenize
+from kinfold.operators.encode import HashEncoder, encode_pooled, encode_tokens, tokenize
+from kinfold.plans.experiment import experiment
 from kinfold.operators.skew import eager_join_aggregate, middle_rows
 from kinfold.session import Scratch
 from kinfold.sources.fasta import classified, read_fasta, write_fasta
 from kinfold.sources.m8 import read_dataset, read_hits
+from kinfold.sources.stockholm import block_counts, read_clans, read_stockholm
 
 SEQ = RESIDUES  # exactly 20 residues
 
@@ -210,6 +212,31 @@ def test_encoder_and_tokens(spark):
     assert {r[0]: len(r[1]) for r in df.dropna().select("id", tokenize(F.col("seq"))).collect()} == {1: 22, 2: 256}
 
 
+def test_pooled_encodings_equal_the_expression(spark):
+    df = spark.createDataFrame([(1, SEQ), (2, SEQ[:7] * 3), (3, None), (4, "")], "id long, seq string")
+    enc = HashEncoder(8)
+    toks = encode_tokens(df, enc)
+    for inner, expr in ((False, V.mean_pool(F.col("toks"), 8)), (True, V.mean_pool_inner(F.col("toks"), 8))):
+        want = {r["id"]: r["v"] for r in toks.select("id", expr.alias("v")).collect()}
+        got = {r["id"]: r["vec"] for r in encode_pooled(df, enc, inner).collect()}
+        assert set(got) == set(want) == {1, 2, 4}
+        assert all(np.allclose(got[i], want[i], atol=1e-6) for i in got)
+
+
+def test_experiment(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        base = rng.choice(list(RESIDUES), 60)
+        rows += [(g * 10 + i, "".join(c if rng.random() > 0.1 else "A" for c in base), f"g{g}") for i in range(5)]
+    df = spark.createDataFrame([*rows, (999, None, "g1"), (998, SEQ, None)], "pid long, seq string, label string")
+    got = {r["method"]: r for r in experiment(df, HashEncoder(16), Scratch(spark, "x"), test_frac=0.5, max_test=1000).collect()}
+    assert set(got) == {"late interaction", "mean pool, dot", "mean pool, cosine", "MinHash"}
+    assert float(got["late interaction"]["r_at_5"]) > 0.95 and float(got["MinHash"]["r_at_5"]) > 0.9
+    assert {r["median_ms"] for r in got.values()} == {"n/a"}
+    assert experiment(df.where("false"), HashEncoder(16), Scratch(spark, "x")).count() == 4
+
+
 FASTA = ">d1 a.1.1.1 (A:) x\nacdefghikl\n\nmnpqrstvwy\n>d2\r\nACDEFGHIKLMNPQRSTVW\r\n  >d3 b.1.2.3.4\nACDEFGHIKLMNPQRSTVWY\n>d4 c.1\nACDEFGHIKLMNPQRSTVWX\n>d5 c.1.1.1"
 
 
@@ -230,6 +257,8 @@ def test_stockholm(spark, tmp_path):
     (tmp_path / "c.tsv.gz").write_bytes(gzip.compress("PF00001\tCL1\tx\ty\tz\nPF00009\t\tx\ty\tz\nPF00001\tCL0002\tx\ty\tz\nPF00003\n".encode("latin-1")))
     got = read_dataset(spark, "pfam", str(tmp_path / "s.gz"), str(tmp_path / "c.tsv.gz")).collect()
     assert len(got) == 50 and {r["superfamily"] for r in got} == {"CL0002"} and {r["sequence"] for r in got} == {SEQ} and {r["family_name"] for r in got} == {"fam one"}
+    counts = block_counts(read_stockholm(spark, str(tmp_path / "s.gz")), read_clans(spark, str(tmp_path / "c.tsv.gz"))).first()
+    assert tuple(counts) == (3, 1)  # the last block isn't closed
     with pytest.raises(ValueError):
         read_dataset(spark, "other", "x")
 

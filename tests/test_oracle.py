@@ -17,9 +17,11 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_queries_without_sql_run(spark):
-    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"align_topk"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"align_topk", "recall_encoded", "experiment_summary"}
     rows = catalog.align_topk(spark, FOLDER).collect()
     assert rows and all(r["qid"] % 50 == 0 and r["qid"] != r["did"] for r in rows)
+    assert all(0 <= r["recall"] <= 1 and r["n"] > 0 for r in catalog.recall_encoded(spark, FOLDER).collect())
+    assert catalog.experiment_summary(spark, FOLDER).count() == 5
 
 
 def test_entry_and_optional_part(spark, monkeypatch):
