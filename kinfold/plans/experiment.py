@@ -51,7 +51,9 @@ def experiment(
         "MinHash": search.top_k(signed, signed, search.agreement_block, k),
     }
     if outside_hits is not None:
-        ranked["outside search"] = hits.rank_hits(outside_hits, k)
+        # the search ran over more than the test side: only its own pairs compete
+        own = outside_hits.join(test.select(F.col("id").alias("query")), "query", "left_semi").join(test.select(F.col("id").alias("target")), "target", "left_semi")
+        ranked["outside search"] = hits.rank_hits(own, k)
     out = None
     for method, rows in ranked.items():
         r = recall_at_k(recall_per_query(rows, labels, labels, ks), ks).select(F.lit(method).alias("method"), "k", "recall")
