@@ -382,6 +382,22 @@ def test_leaks_of_nothing_and_single_words(spark):
     assert leaked(spark, ["an Isomérase here", "nothing", "isomerase"], [(1, "isomerase"), (5, ITEM)]) == {0, 2}
 
 
+def test_retrieval_against_brute_force(spark):
+    """Every document against every item, without an index."""
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "test_items"))
+    parsed = [(r["item_id"], leakage.words_of(r["text"])[0]) for r in items.collect()]
+    slips = {i: leakage.Slips(w) for i, w in parsed if w}
+    want = set()
+    for d in docs.collect():
+        words = leakage.words_of(d["text"])[0]
+        for i, item in parsed:
+            n = len(item)
+            if n and any(leakage.holds(item, words[s : s + 2 * n + 16], slips[i]) for s in range(0, max(1, len(words) - n), max(1, n // 2))):
+                want.add((d["doc_id"], i))
+    assert want and {tuple(r) for r in leakage.leaks(docs, items).collect()} == want
+
+
 def test_several_indexes_and_very_long_texts(spark, monkeypatch):
     monkeypatch.setattr(leakage, "INDEX_ITEMS", 1)
     docs = [(FILL + " ") * 20_000 + ITEM, None, ITEM]
