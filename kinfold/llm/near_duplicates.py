@@ -44,7 +44,7 @@ BITS = 64 * SKETCH_WORDS
 #: them from which a k-mer counts as frequent. They steer the order only.
 SAMPLE_ROWS, FREQUENT = 4096, 0.005
 #: Join keys per shuffle partition.
-KEYS_PER_PARTITION = 2_000_000
+KEYS_PER_PARTITION = 1_000_000
 
 
 def least_shared(a, b, t: Fraction):
