@@ -36,6 +36,7 @@ def recall_at_k(per_query: DataFrame, ks: Sequence[int] = KS, digits: int = 6) -
     spark = per_query.sparkSession
     every = spark.createDataFrame([(k,) for k in ks], "k int")
     means = per_query.groupBy("k").agg(F.avg("recall").alias("_r"), F.count(F.lit(1)).alias("_n"))
+    # a row per k, a row per method
     return every.join(F.broadcast(means), "k", "left").select("k", F.round(F.coalesce("_r", F.lit(0.0)), digits).alias("recall"), F.coalesce("_n", F.lit(0)).alias("n"))
 
 
