@@ -27,7 +27,7 @@ from kinfold.llm.near_duplicates import DESCRIBED, describe, frequent_kmers
 from kinfold.session import Scratch
 
 LONGEST_RUN = 4
-TOKENS_PER_PARTITION = 3_000_000
+TOKENS_PER_PARTITION = 1_500_000
 
 
 def _runs(code: np.ndarray, m: int) -> list[int]:
@@ -181,6 +181,8 @@ class SplitOverlap:
                 large = side(many).mapInArrow(larger_side(k, m), GRAMS)
                 a = own.select("gram", F.col("id").alias(few), F.col("size").alias("_s"))
                 b = large.select("gram", F.col("id").alias(many), F.col("size").alias("_l"))
+                if m == LONGEST_RUN:  # both sides by the data's size, not the session's setting
+                    a, b = a.repartition(parts, "gram"), b.repartition(parts, "gram")
                 met.append(a.join(b, "gram").where("_s <= _l").select(F.col("eval").alias("e"), F.col("train").alias("t")))
         near = spark.createDataFrame([], "e long, t long")
         for pairs in met:
