@@ -17,9 +17,13 @@ So parts are joined with mismatches allowed. Pairs are put into bands by ``T``
 in one global order, which must hold at least ``q`` of the shared ones, and spreads
 them over ``q - 1`` parts by hash: two shared k-mers meet in one part. The part's
 parity with all but two of its k-mers taken out, the XOR of two k-mer hashes, is
-the join key. With ``q = K/2 + 1`` the K/2 k-mers that come last in the global order
-are never used; frequent ones (seen in a bounded sample) are put there, which
-changes the work done, never the result.
+the join key. With ``q = K/2 + 1`` the K - q k-mers that come last in the global order
+are never needed. Frequent k-mers (seen in a bounded sample), such as those of a
+domain that many texts share, are put there. A set with at most K - q of them has
+none left, so whatever it shares with any other set is found without them, and
+nobody's frequent k-mers are used. Two sets that both have more meet in a second
+round of their own, with a smaller ``q`` and bands of a third, that leaves out most of
+T. What counts as frequent changes the work done, never the result.
 
 Two unrelated sets have the same two k-mers in one part about once in millions of
 pairs, so nearly all keys occur once and go in one streaming pass.
@@ -43,6 +47,7 @@ BITS = 64 * SKETCH_WORDS
 #: Sequences in the sample that frequent k-mers are taken from, and the share of
 #: them from which a k-mer counts as frequent. They steer the order only.
 SAMPLE_ROWS, FREQUENT = 4096, 0.005
+LAST = np.uint64(1 << 63)
 #: Join keys per shuffle partition.
 KEYS_PER_PARTITION = 1_000_000
 
@@ -53,17 +58,23 @@ def least_shared(a, b, t: Fraction):
     return -((-(a + b) * num) // den)
 
 
-def bands(a: np.ndarray, t: Fraction) -> list[int]:
+def bands(a: np.ndarray) -> list[int]:
     """Bands K (powers of two) that some set of the given sizes takes part in."""
     top = int(a.max()) if len(a) else 0
     return [1 << i for i in range(top.bit_length())]
 
 
-def in_band(a: np.ndarray, k: int, t: Fraction) -> np.ndarray:
-    """Sets of size a have a possible partner b (t a <= b <= a / t) with K <= T < 2K."""
+def thirds(band: int) -> list[tuple[int, int]]:
+    """The band ``[K, 2K)`` in three."""
+    ends = [band, -(-band * 4 // 3), -(-band * 5 // 3), 2 * band]
+    return [(low, high) for low, high in zip(ends, ends[1:], strict=False) if low < high]
+
+
+def in_band(a: np.ndarray, least: int, most: int, t: Fraction) -> np.ndarray:
+    """Sets of size a have a possible partner b (t a <= b <= a / t) with least <= T < most."""
     num, den = t.numerator, t.denominator
     low, high = -((-a * num) // den), (a * den) // num
-    return (least_shared(a, high, t) >= k) & (least_shared(a, low, t) < 2 * k) & (a >= k)
+    return (least_shared(a, high, t) >= least) & (least_shared(a, low, t) < most) & (a >= least)
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -110,19 +121,20 @@ DESCRIBED = "id long, seq string, size int, fp1 long, fp2 long, " + ", ".join(f"
 def join_keys(k: int, t: Fraction, frequent: np.ndarray):
     """``(sig, id)`` for each text, as in the module's description."""
 
-    def of_band(row, h, rank_key, size, band):
+    def of_band(row, h, rank_key, size, band, q, salt):
         # first a - K + q of each set in the global order
         order = np.lexsort((rank_key, row))
-        row, h = row[order], h[order]
+        row, h, hot = row[order], h[order], rank_key[order] >= LAST
         start = np.r_[0, np.cumsum(np.bincount(row, minlength=len(size)))][:-1]
         place = np.arange(len(row)) - start[row]
-        q = band // 2 + 1 if band > 1 else 1
         keep = place < size[row] - band + q
+        if salt == 0:
+            keep &= ~hot
         row, h = row[keep], h[keep]
-        salt = K.mix(h, band)
+        mark = K.mix(h, 2 * band + salt)
         if q == 1:  # T = 1: any shared k-mer
-            return row, salt
-        part = (salt % np.uint64(q - 1)).astype(np.int64)
+            return row, mark
+        part = (mark % np.uint64(q - 1)).astype(np.int64)
         order = np.lexsort((part, row))
         row, part, h = row[order], part[order], h[order]
         group = row * (q - 1) + part
@@ -135,7 +147,7 @@ def join_keys(k: int, t: Fraction, frequent: np.ndarray):
                     break
                 i = np.flatnonzero(same)
                 out_row.append(row[i])
-                out_sig.append(K.mix((h[i] ^ h[i + gap]) + np.uint64(band)))
+                out_sig.append(K.mix((h[i] ^ h[i + gap]) + np.uint64(2 * band + salt)))
                 gap += 1
         if not out_row:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -147,14 +159,19 @@ def join_keys(k: int, t: Fraction, frequent: np.ndarray):
             ids = np.asarray(batch.column("id"))
             h = K.mix(code, 7)
             last = np.isin(code, frequent).astype(np.uint64) if len(frequent) else np.zeros(len(code), np.uint64)
-            rank_key = (h >> np.uint64(1)) | (last << np.uint64(63))
-            for band in bands(size, t):
-                takes = in_band(size, band, t)
-                if not takes.any():
-                    continue
-                some = takes[row]
-                r, sig = of_band(row[some], h[some], rank_key[some], size, band)
-                if len(r):
+            rank_key = (h >> np.uint64(1)) | (last * LAST)
+            hot_count = np.bincount(row, weights=last, minlength=len(size))
+            for band in bands(size):
+                q = band // 2 + 1 if band > 1 else 1
+                rounds = [(band, q, 0, in_band(size, band, 2 * band, t))]
+                heavy = hot_count > band - q
+                if heavy.any():
+                    rounds += [(low, min(q, max(2, low // 8)), 1, heavy & in_band(size, low, high, t)) for low, high in thirds(band)]
+                for least, need, salt, sets in rounds:
+                    if not sets.any():
+                        continue
+                    some = sets[row]
+                    r, sig = of_band(row[some], h[some], rank_key[some], size, least, need, salt)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(ids[r])], names=["sig", "id"])
 
     return run

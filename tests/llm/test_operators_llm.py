@@ -129,6 +129,27 @@ def test_near_duplicates_lose_no_pair(spark, t):
     assert {i: r["group_id"] for i, r in per.items()} == up
 
 
+def test_no_pair_is_lost_behind_a_shared_domain(spark, monkeypatch):
+    """Long and short domains in many texts; near copies with and without them."""
+    rnd = random.Random(11)
+    letters = lambda n: "".join(rnd.choice(RESIDUES) for _ in range(n))
+    domains = [letters(n) for n in (25, 60, 110, 200)]
+    out = []
+    for i in range(160):
+        own, at = letters(rnd.choice([30, 60, 100])), rnd.randrange(30)
+        base = own[:at] + domains[i % 4] + own[at:]
+        out += [base, mutated(rnd, base, 3), own + domains[i % 3][:40]] if i % 4 == 0 else [base]
+    rows = list(enumerate(out))
+    sets = {i: grams(s) for i, s in rows}
+    for frequent in (0.005, 0.05, 2.0):  # the last: nothing is frequent
+        monkeypatch.setattr(near_duplicates, "FREQUENT", frequent)
+        reps = spark.createDataFrame(rows, "id long, seq string")
+        assert (len(near_duplicates.frequent_kmers(reps, 5)) > 0) == (frequent < 1)
+        for t in (Fraction(1, 2), Fraction(4, 5)):
+            want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * t.denominator >= len(sets[a] | sets[b]) * t.numerator}
+            assert {(r["id_a"], r["id_b"]) for r in NearDuplicates(reps, scratch(spark), 5, t).all_pairs().collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, "ACD")], "id long, seq string")
     for x in (df, df.where("false")):
