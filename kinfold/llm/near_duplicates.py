@@ -25,6 +25,9 @@ nobody's frequent k-mers are used. Two sets that both have more meet in a second
 round of their own, with a smaller ``q`` and bands of a third, that leaves out most of
 T. What counts as frequent changes the work done, never the result.
 
+The lowest bit of a key marks sets so large that two of them have more than the
+band's T; they meet smaller ones only.
+
 Two unrelated sets have the same two k-mers in one part about once in millions of
 pairs, so nearly all keys occur once and go in one streaming pass.
 """
@@ -163,36 +166,46 @@ def join_keys(k: int, t: Fraction, frequent: np.ndarray):
             hot_count = np.bincount(row, weights=last, minlength=len(size))
             for band in bands(size):
                 q = band // 2 + 1 if band > 1 else 1
-                rounds = [(band, q, 0, in_band(size, band, 2 * band, t))]
+                rounds = [(band, 2 * band, q, 0, in_band(size, band, 2 * band, t))]
                 heavy = hot_count > band - q
                 if heavy.any():
-                    rounds += [(low, min(q, max(2, low // 8)), 1, heavy & in_band(size, low, high, t)) for low, high in thirds(band)]
-                for least, need, salt, sets in rounds:
+                    rounds += [(low, high, min(q, max(2, low // 8)), 1, heavy & in_band(size, low, high, t)) for low, high in thirds(band)]
+                for least, most, need, salt, sets in rounds:
                     if not sets.any():
                         continue
                     some = sets[row]
                     r, sig = of_band(row[some], h[some], rank_key[some], size, least, need, salt)
+                    large = least_shared(size, size, t) >= most
+                    sig = (sig & ~np.uint64(1)) | large[r].astype(np.uint64)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(ids[r])], names=["sig", "id"])
 
     return run
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose ``sig`` occurs more than once, from rows sorted by ``sig``. Holds
-    one row of the run that a batch ends in, however long the run is."""
+    """From rows sorted by ``sig``: those whose key (``sig`` without its lowest bit)
+    occurs more than once, at least once with the bit clear; such a row comes first.
+    Holds one row of the run that a batch ends in, however long the run is."""
     held_sig = held_id = None
-    held_out = True  # whether the held row has gone out already
+    held_out = held_met = False  # the held row has gone out; its run began with a clear bit
     for batch in batches:
         sig, ids = np.asarray(batch.column("sig")), np.asarray(batch.column("id"))
         if not len(sig):
             continue
         if held_sig is not None:
             sig, ids = np.r_[held_sig, sig], np.r_[held_id, ids]
-        equal = sig[1:] == sig[:-1]
-        keep = np.r_[False, equal] | np.r_[equal, False]
-        if held_sig is not None and held_out:
+        equal = (sig[1:] >> 1) == (sig[:-1] >> 1)
+        first = np.flatnonzero(np.r_[True, ~equal])
+        clear = (sig[first] & 1) == 0
+        if held_sig is not None:
+            clear[0] = held_met
+        met = np.repeat(clear, np.diff(np.r_[first, len(sig)]))
+        keep = (np.r_[False, equal] | np.r_[equal, False]) & met
+        last = bool(keep[-1])
+        if held_out:
             keep[0] = False
-        held_sig, held_id, held_out = sig[-1:], ids[-1:], bool(keep[-1])
+        # the last row waits, unless its run is known to be long already
+        held_sig, held_id, held_out, held_met = sig[-1:], ids[-1:], last, bool(met[-1])
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(ids[keep])], names=["sig", "id"])
 
@@ -245,20 +258,20 @@ class NearDuplicates:
         n_keys = (reps.agg(F.sum("size")).first()[0] or 0) * 3
         parts = max(reps.sparkSession.sparkContext.defaultParallelism, -(-n_keys // KEYS_PER_PARTITION))
         keys = reps.select("id", "seq").repartition(parts).mapInArrow(join_keys(k, t, frequent_kmers(reps, k)), "sig long, id long")
-        again = keys.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(repeated, "sig long, id long")
+        again = keys.repartition(parts, F.shiftright("sig", 1)).sortWithinPartitions("sig").mapInArrow(repeated, "sig long, id long")
         again = scratch.write(again, "again")
 
         slim = reps.select("id", "size", *[f"w{i}" for i in range(SKETCH_WORDS)])
-        lit = again.join(slim, "id").repartition(parts, "sig")
-        side = lambda s: lit.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in slim.columns])
+        lit = again.select(F.shiftright("sig", 1).alias("key"), (F.col("sig") % 2 != 0).alias("large"), "id").join(slim, "id").repartition(parts, "key")
+        side = lambda s: lit.select("key", F.col("large").alias(f"large_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in slim.columns])
         apart = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH_WORDS)), F.lit(0))
         num, den = t.numerator, t.numerator + t.denominator
         both = F.col("size_a") + F.col("size_b")
         shared = -F.floor(-both * F.lit(num) / F.lit(den))
         near = (
-            side("a").join(side("b"), "sig")
-            .where((F.col("id_a") < F.col("id_b")) & (apart <= both - 2 * shared))
-            .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+            side("a").where("not large_a").join(side("b"), "key")
+            .where((F.col("large_b") | (F.col("id_a") < F.col("id_b"))) & (F.col("id_a") != F.col("id_b")) & (apart <= both - 2 * shared))
+            .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         )
         seq = lambda s: reps.select(F.col("id").alias(s), F.col("seq").alias(f"seq_{s}"))
         found = near.join(seq("a"), "a").join(seq("b"), "b").select("a", "b", "seq_a", "seq_b")
