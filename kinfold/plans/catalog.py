@@ -214,8 +214,9 @@ def kmer_index_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Best local alignments; no SQL, the scores are tested against the full table."""
-    texts = _usable(spark, d).select(F.col("pid").alias("id"), "seq")
+    """Best local alignments of each query with all rows; no SQL, it is tested against
+    the full tables of all pairs."""
+    texts = Scratch(spark, "align").write(_usable(spark, d).select(F.col("pid").alias("id"), "seq"), "texts")
     return align.align_top_k(_queries(texts), texts)
 
 

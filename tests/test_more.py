@@ -30,6 +30,36 @@ def test_align_top_k(spark):
     assert align.align_top_k(df.where("false"), df).count() == 0
 
 
+def test_byte_scores_against_the_table():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 20, 150).astype(np.uint8)
+    others = [rng.integers(0, 20, n).astype(np.uint8) for n in (1, 7, 90, 200)]
+    others += [np.r_[a[:60], a[64:]], np.r_[a, a], np.r_[a[:125], others[2]], a[:123], a[:1]]
+    for q in (a, a[:40], a[:1], a % 3):
+        got = align._byte_scores(q, align._lanes(others))
+        want = align.local_scores(q, others)
+        assert (np.where(got > align.FULL, want, got) == want).all() and ((got > align.FULL) == (want > align.FULL)).all()
+    assert align.local_scores(a, others).tolist() == [brute(a, b) for b in others]
+
+
+def test_align_top_k_misses_no_partner(spark):
+    """Partners that share no 5-mer with the query, and scores beyond a byte."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 20, 160)
+    apart = base.copy()
+    apart[3::4] = (apart[3::4] + 1) % 20  # every fourth residue differs: no 5-mer in common
+    rows = [base, apart, base] + [rng.integers(0, 20, n) for n in rng.integers(20, 200, 57)]
+    text = lambda x: "".join("ACDEFGHIKLMNPQRSTVWY"[c] for c in x)
+    df = spark.createDataFrame([(i, text(x)) for i, x in enumerate(rows)], "id long, seq string")
+    got = [(r["qid"], r["rk"], r["did"], r["score"]) for r in align.align_top_k(df.where("id in (0, 7)"), df, 20).collect()]
+    want = []
+    for q in (0, 7):
+        scores = align.local_scores(rows[q], rows)
+        best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:20]
+        want += [(q, rk, i, -s) for rk, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want) and (0, 2, 1, 201) in want
+
+
 def test_kmer_index(spark, tmp_path):
     df = spark.createDataFrame([(1, "ACDEFG"), (2, "ACDEFG"), (3, "XCDEFG"), (4, "AC"), (5, None)], "id long, seq string")
     kmer_index.build(df, str(tmp_path / "ix"), 5)
