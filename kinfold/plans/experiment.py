@@ -37,7 +37,9 @@ def experiment(
     parts = groups.split_groups(usable, "label", test_frac, min_members)
     test = usable.join(parts.where("part = 'test'").select("label"), "label", "left_semi")
     test = groups.subsample(test, "label", "pid", max_test).select(F.col("pid").alias("id"), "seq", "label")
-    test = scratch.write(test, "test")
+    # few bytes, but each row is a query against all others: more tasks than the bytes ask for
+    tasks = 4 * proteins.sparkSession.sparkContext.defaultParallelism
+    test = scratch.write(test.repartition(tasks, "id"), "test")
     labels, k = test.select("id", "label"), max(ks)
 
     pooled = scratch.write(encode_pooled(test, encoder), "pooled")
@@ -45,7 +47,7 @@ def experiment(
     tokens = scratch.write(encode_tokens(test, encoder).withColumnRenamed("toks", "vec"), "tokens")
     signed = scratch.write(minhash.signatures(test).withColumnRenamed("sig", "vec"), "signed")
     ranked = {
-        "late interaction": search.top_k(tokens, tokens, search.maxsim_block, k),
+        "late interaction": search.top_k(tokens, tokens.repartition(tasks, "id"), search.maxsim_block, k),
         "mean pool, dot": search.top_k(pooled, pooled, search.dot_block, k),
         "mean pool, cosine": search.top_k(inner, inner, search.cosine_block, k),
         "MinHash": search.top_k(signed, signed, search.agreement_block, k),

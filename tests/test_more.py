@@ -88,3 +88,35 @@ def test_latency(spark):
     got = evaluate.median_after_warm_up(t, 5).first()
     assert got["n"] == 3 and got["median_ms"] > 0
     assert evaluate.median_after_warm_up(t, 8).count() == 0
+
+
+def test_experiment_summary_has_the_production_budget(monkeypatch, spark):
+    import inspect
+
+    from kinfold.plans import catalog
+
+    seen = {}
+    real = inspect.signature(catalog.experiment)
+
+    def record(*args, **kwargs):
+        bound = real.bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+
+    monkeypatch.setattr(catalog, "experiment", record)
+    catalog.experiment_summary(spark, "/root/testdata/sf0.001")
+    assert seen["max_test"] == 3000  # the reference's MAX_TEST_PROTEINS
+
+
+def test_maxsim_block_in_tiles(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    q, d = ([rng.normal(size=(n, 4)).astype(np.float32) for n in sizes] for sizes in ((3, 0, 9, 1, 2), (2, 7, 0, 1, 1, 4)))
+    want = [[-np.inf if not len(y) else (x @ y.T).max(axis=1).sum() if len(x) else 0.0 for y in d] for x in q]
+    kind = pa.list_(pa.list_(pa.float32()))
+    monkeypatch.setattr(search, "QUERY_TOKENS", 4)
+    monkeypatch.setattr(search, "CORPUS_TOKENS", 5)
+    got = search.maxsim_block(pa.array([x.tolist() for x in q], kind), pa.array([x.tolist() for x in d], kind))
+    assert np.allclose(got, want, atol=1e-5)
+    assert [(s.stop - s.start, t.stop - t.start) for s, _, t in search._spans(np.array([2, 7, 1, 1, 4]), 5)] == [(1, 2), (1, 7), (2, 2), (1, 4)]
