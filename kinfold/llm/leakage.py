@@ -3,7 +3,8 @@
 The test items make a BM25 inverted index; every passage of every document is a
 query against it. Its terms are pairs of words, next to each other or with one word
 between: single words of one trade are everywhere, pairs tell a leak from its
-surroundings, and pairs over a gap outlive a slip or an addition. Items are put into
+surroundings. A pair is one term whatever its gap, in the item and in the text, so
+pairs outlive an added or a left-out word between them. Items are put into
 blocks of similar length; a block's passages are windows of twice its longest item, a
 quarter of that apart. Block-max WAND over a batch of documents at once: per term and
 block the index has the greatest impact that the term has in an item of the block;
@@ -190,13 +191,13 @@ class Index:
         v = len(self.vocabulary)
         at, keys = [], []
         known = terms < v
-        for kind, gap in enumerate((1, 2)):
+        for gap in (1, 2):
             p = np.flatnonzero(known[:-gap] & known[gap:]) if len(terms) > gap else np.zeros(0, np.int64)
             at.append(p)
-            keys.append((terms[p] * (v + 1) + terms[p + gap]) * 3 + kind)
+            keys.append((terms[p] * (v + 1) + terms[p + gap]) * 2)
         if self.single:
             at.append(np.flatnonzero(known))
-            keys.append(terms[at[-1]] * (v + 1) * 3 + 2)
+            keys.append(terms[at[-1]] * (v + 1) * 2 + 1)
         return np.concatenate(at), np.concatenate(keys)
 
     @staticmethod

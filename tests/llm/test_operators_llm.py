@@ -389,6 +389,14 @@ def test_leaks_whole_partial_and_disguised(spark):
     assert leaked(spark, docs) == set(range(len(docs)))
 
 
+def test_leaks_with_words_added_or_left_out_throughout(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(60)]
+    item = " ".join(words)
+    added = " ".join(w + (f" foreign{i}" if i % 2 else "") for i, w in enumerate(words[:32]))
+    left_out = " ".join(words[::2])
+    assert leaked(spark, [f"{FILL} {x} {FILL}" for x in (added, left_out)], [(1, item)]) == {0, 1}
+
+
 def test_no_leaks(spark):
     rnd = random.Random(1)
     mixed = WORDS[:]
