@@ -247,6 +247,11 @@ def stratified_subsample(spark: SparkSession, d: str) -> DataFrame:
     return groups.subsample(_labelled(spark, d).select("pid", "label"), "label", "pid", 300)
 
 
+def stratified_subsample_3000(spark: SparkSession, d: str) -> DataFrame:
+    """With the production budget, so that the fill after two of each group has room."""
+    return groups.subsample(_labelled(spark, d).select("pid", "label"), "label", "pid", 3000)
+
+
 def pair_sample(spark: SparkSession, d: str) -> DataFrame:
     return groups.training_pairs(_labelled(spark, d), "label", "pid")
 
@@ -376,7 +381,7 @@ QUERIES = {
         p2_found, p2_hit_counts, p2_family_pairs, topk_dot, topk_cosine, topk_maxsim, maxsim_scores, topk_single_query, recall_dot,
         recall_cosine, recall_maxsim, meanpool, meanpool_no_special, l2_normalize, clean_sequences, label_keys, kmer_counts,
         kmer_frequencies, token_counts, minhash_sig, minhash_topk, recall_minhash, exact_jaccard, kmer_index_hits, align_topk, group_sizes, group_profile,
-        min_group_filter, group_split, stratified_subsample, pair_sample, sample_queries, first_n_per_group, batch_stats, fk_join,
+        min_group_filter, group_split, stratified_subsample, stratified_subsample_3000, pair_sample, sample_queries, first_n_per_group, batch_stats, fk_join,
         infonce_loss, loss_ema, latency_median, hits_rank, hits_rank_all, recall_hits, recall_hits_dedup, summary_pivot,
         combined_summary, recall_encoded, experiment_summary, fasta_roundtrip,
     )
@@ -483,6 +488,9 @@ ORACLE = {
   select label, case when rn <= greatest(1, floor(c * 0.15::double)) then 'test' else 'train' end part from o""",
     "stratified_subsample": f"""with {LABELLED}, m as (select pid, label, row_number() over (partition by label order by md5('42:' || pid), pid) r from labelled),
   b as (select greatest(0, 300 - count(*)) room from m where r <= 2), l as (select pid, label, row_number() over (order by md5('43:' || pid), pid) r2 from m where r > 2)
+  select pid, label from m where r <= 2 union all select pid, label from l, b where r2 <= room""",
+    "stratified_subsample_3000": f"""with {LABELLED}, m as (select pid, label, row_number() over (partition by label order by md5('42:' || pid), pid) r from labelled),
+  b as (select greatest(0, 3000 - count(*)) room from m where r <= 2), l as (select pid, label, row_number() over (order by md5('43:' || pid), pid) r2 from m where r > 2)
   select pid, label from m where r <= 2 union all select pid, label from l, b where r2 <= room""",
     "pair_sample": f"""with {LABELLED}, s as (select label, count(*) n from labelled group by 1 having count(*) >= 2), g as (select *, row_number() over (order by md5('42:' || label), label) g, count(*) over () c from s),
   m as (select label, pid, row_number() over (partition by label order by md5('42:' || pid), pid) - 1 m from labelled),

@@ -16,6 +16,12 @@ def test_query_equals_sql(spark, con, name):
     same(spark, con, FOLDER, catalog.QUERIES[name], catalog.ORACLE[name])
 
 
+def test_subsample_fills_its_production_budget(spark):
+    folder = "/root/testdata/sf0.1"
+    same(spark, connect(folder), folder, catalog.QUERIES["stratified_subsample_3000"], catalog.ORACLE["stratified_subsample_3000"])
+    assert catalog.stratified_subsample_3000(spark, folder).count() == 3000
+
+
 def test_queries_without_sql_run(spark):
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"align_topk", "recall_encoded", "experiment_summary"}
     rows = catalog.align_topk(spark, FOLDER).collect()
