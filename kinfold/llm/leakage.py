@@ -1,19 +1,26 @@
 """Test items whose text occurs, whole or in part, in documents.
 
 The test items make a BM25 inverted index; every passage of every document is a
-query against it. Its terms are pairs of words, next to each other or with one word
-between: single words of one trade are everywhere, pairs tell a leak from its
-surroundings. A pair is one term whatever its gap, in the item and in the text, so
-pairs outlive an added or a left-out word between them. Items are put into
-blocks of similar length; a block's passages are windows of twice its longest item, a
-quarter of that apart. Block-max WAND over a batch of documents at once: per term and
-block the index has the greatest impact that the term has in an item of the block;
-running sums of these along the text give every window's upper bound for every block
-by one subtraction, and only windows whose bound reaches the least threshold of a
-block are scored against its items. An item's threshold is a share of the least score
-that half of it in one stretch can have, so slips and left-out words don't hide it.
-What remains is verified: the longest common subsequence of item and passage must
-have half of the item's words, with words that differ by one slip counted too.
+query against it. Terms are words. A word of a passage counts as each word of the
+index that it equals, is one slip away from (found by the words less one letter that
+both have), or makes together with the word after it, so slips are put right before
+anything is retrieved. A term's impact is shared out among its places in an item.
+
+*Threshold.* A passage that holds half of an item's words, in whatever pattern, has at
+least the sum of the item's least impacts, as many as half of its words. This is the
+item's threshold, so retrieval loses no pair that verification would accept.
+
+*Block-max WAND* over a batch of documents at once: items are put into blocks of
+similar length and language, a block's passages are windows of twice its longest item,
+a quarter of that apart. Per term and block the index has the greatest impact that the
+term has in an item of the block; running sums of these along the text give every
+window's upper bound by one subtraction, and only windows whose bound reaches the least
+threshold of a block are scored against its items. In a narrow trade half of an item's
+words are common ones, so many windows reach it; these are run through a bit-parallel
+longest common subsequence, all windows at once, before any is verified word by word.
+
+*Verification.* The longest common subsequence of item and passage must have half of
+the item's words, with words that differ by one slip counted too.
 """
 
 from __future__ import annotations
@@ -31,17 +38,22 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.kmers import mix
 from kinfold.llm.tokens import char_ranges, slices
+from kinfold.session import Scratch
 
 K1, B = 1.2, 0.75
-BLOCK, AT_ONCE = 8, 16
+BLOCK = 8
 #: Share of an item's words that a passage must hold, in order.
 SHARE = 0.5
-#: An item's threshold, as a share of the least score of half of it in one stretch.
-SLACK = 0.4
-#: Bits of the table that tells pairs that are in no item.
-FILTER_BITS = 22
-#: Items of one index that is sent to the executors; more make several indexes.
+#: Lengths of words whose slips are put right; shorter ones are near too many others.
+SLIP_FROM, SLIP_TO = 4, 60
+#: Items of one index that is sent to the executors; more make several indexes, one
+#: after another. An index takes at most about 60 bytes a character of its items.
 INDEX_ITEMS, INDEX_CHARS = 5000, 5_000_000
+#: Cells of the table of windows and terms that is counted at once.
+CELLS = 4_000_000
+#: Rounding of sums is no reason to miss a threshold.
+EPS = 1 - 1e-5
+PAIRS = "doc_id long, item_id long"
 ROW = "\ue000"  # parts the texts of a batch: a private-use character, never a letter
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -145,110 +157,252 @@ def words_of(text: str | None) -> tuple[list[str], np.ndarray]:
     return words, hash_words(letters, begin, end)
 
 
+def _places(letters: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of words end to end, and their places within each word."""
+    head = np.cumsum(length) - length
+    turn = np.arange(length.sum())
+    return letters[np.repeat(begin - head, length) + turn].astype(np.uint64), (turn - np.repeat(head, length)).astype(np.uint64)
+
+
+def less_one(letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(hash, word)`` of words of middling length, whole and less each letter."""
+    word = np.flatnonzero((end - begin >= SLIP_FROM) & (end - begin <= SLIP_TO))
+    n = (end - begin)[word]
+    letter, place = _places(letters, begin[word], n)
+    far = np.uint64(32)
+    run, moved = np.zeros(len(letter) + 1, np.uint64), np.zeros(len(letter) + 1, np.uint64)
+    np.cumsum(mix(letter + (place << far)), out=run[1:])
+    np.cumsum(mix(letter + ((np.maximum(place, np.uint64(1)) - np.uint64(1)) << far)), out=moved[1:])
+    high = np.cumsum(n)
+    low = high - n
+    at = np.arange(len(letter))
+    less = run[at] - run[np.repeat(low, n)] + moved[np.repeat(high, n)] - moved[at + 1]
+    return np.concatenate([run[high] - run[low], less]), np.concatenate([word, np.repeat(word, n)])
+
+
+def _expand(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``low[0], low[0] + 1, ...`` for ``n[0]`` numbers, and so on."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Index:
-    """BM25 impacts of the word pairs of up to INDEX_ITEMS items, in blocks by length."""
+    """BM25 impacts of the words of up to INDEX_ITEMS items, in blocks by length."""
 
     def __init__(self, items: list[tuple[int, str]]):
         parsed = [(i, *words_of(t)) for i, t in items]
-        parsed = sorted((p for p in parsed if p[1]), key=lambda p: (len(p[1]), p[0]))
-        self.ids = [p[0] for p in parsed]
-        self.words = [p[1] for p in parsed]
-        self.vocabulary = np.unique(np.concatenate([p[2] for p in parsed])) if parsed else np.zeros(0, np.uint64)
+        parsed = [p for p in parsed if p[1]]
         n = len(parsed)
-        self.single = any(len(w) == 1 for w in self.words)
-        pairs = [self._pairs(np.searchsorted(self.vocabulary, p[2])) for p in parsed]
-        self.keys = np.unique(np.concatenate([k for _, k in pairs])) if n else np.zeros(0, np.int64)
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self._slot(self.keys)] = True
-        terms = [(at, np.searchsorted(self.keys, k)) for at, k in pairs]
-        mean = np.mean([len(w) for w in self.words]) if n else 1.0
-        df = np.zeros(len(self.keys))
-        for _, t in terms:
-            df[np.unique(t)] += 1
+        spelling = {h: w for p in parsed for w, h in zip(p[1], p[2].tolist(), strict=True)}
+        self.vocabulary = np.array(sorted(spelling), np.uint64)
+        self.spelling = [spelling[h] for h in self.vocabulary.tolist()]
+        terms = [np.searchsorted(self.vocabulary, p[2]).astype(np.int32) for p in parsed]
+        df = np.bincount(np.concatenate([np.unique(t) for t in terms]), minlength=len(self.vocabulary)) if n else np.zeros(0)
+        # one language is told by its commonest word, one length by a power of 1.3
+        order = sorted(range(n), key=lambda i: (int(np.log(len(terms[i])) / np.log(1.3)), int(terms[i][np.argmax(df[terms[i]])]), len(terms[i]), parsed[i][0]))
+        self.ids = [parsed[i][0] for i in order]
+        self.words = [terms[i] for i in order]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean = np.mean([len(t) for t in terms]) if n else 1.0
         self.blocks = [slice(b, min(b + BLOCK, n)) for b in range(0, n, BLOCK)]
-        #: Impacts per item as (terms, values), and the greatest per block.
+        #: Per item: terms, how often it has each, impact per place; per block: terms
+        #: and the greatest impact of each.
         self.postings, self.threshold = [], np.zeros(n)
-        self.block_max = np.zeros((len(self.keys), len(self.blocks)), np.float32)
-        for i, (at, t) in enumerate(terms):
-            u, inverse, tf = np.unique(t, return_inverse=True, return_counts=True)
-            impact = idf[u] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.words[i]) / mean))
-            self.postings.append((u, impact.astype(np.float32)))
-            self.block_max[u, i // BLOCK] = np.maximum(self.block_max[u, i // BLOCK], impact)
-            size = len(self.words[i])
-            half = -(-size // 2)
-            least = np.inf
-            for s in range(size - half + 1):
-                here = np.unique(inverse[(at >= s) & (at < s + max(half - 1, 1))])
-                least = min(least, impact[here].sum())
-            self.threshold[i] = SLACK * least
+        for i, t in enumerate(self.words):
+            u, tf = np.unique(t, return_counts=True)
+            weight = idf[u] * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
+            self.postings.append((u, tf.astype(np.int32), weight.astype(np.float32)))
+            self.threshold[i] = np.sort(np.repeat(weight, tf))[: -(-len(t) // 2)].sum() * EPS
+        self.block_terms, self.block_max = [], []
+        for b in self.blocks:
+            u, back = np.unique(np.concatenate([p[0] for p in self.postings[b]]), return_inverse=True)
+            top = np.zeros(len(u), np.float32)
+            np.maximum.at(top, back, np.concatenate([p[2] for p in self.postings[b]]))
+            self.block_terms.append(u)
+            self.block_max.append(top)
         self.block_threshold = [float(self.threshold[b].min()) for b in self.blocks]
         self.span = [2 * max(len(w) for w in self.words[b]) + 16 for b in self.blocks]
+        # words less one letter, sorted by hash
+        letters = np.array([ord(c) for w in self.spelling for c in w], np.uint32)
+        stop = np.cumsum([len(w) for w in self.spelling], dtype=np.int64)
+        less, word = less_one(letters, np.r_[0, stop][:-1], stop) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        by_hash = np.argsort(less, kind="stable")
+        self.less, self.less_word = less[by_hash], word[by_hash].astype(np.int32)
 
-    def _pairs(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and keys of pairs of known words (those of no item are ``v``). Items
-        of a single word are found by the word itself."""
-        v = len(self.vocabulary)
-        at, keys = [], []
-        known = terms < v
-        for gap in (1, 2):
-            p = np.flatnonzero(known[:-gap] & known[gap:]) if len(terms) > gap else np.zeros(0, np.int64)
-            at.append(p)
-            keys.append((terms[p] * (v + 1) + terms[p + gap]) * 2)
-        if self.single:
-            at.append(np.flatnonzero(known))
-            keys.append(terms[at[-1]] * (v + 1) * 2 + 1)
-        return np.concatenate(at), np.concatenate(keys)
+    def nbytes(self) -> int:
+        flat = [self.vocabulary, self.less, self.less_word, *self.words, *self.block_terms, *self.block_max, *(x for p in self.postings for x in p)]
+        return sum(x.nbytes for x in flat) + sum(60 + 4 * len(w) for w in self.spelling)
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    def item(self, i: int) -> list[str]:
+        return [self.spelling[t] for t in self.words[i].tolist()]
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """The term of each word, or -1."""
         v = len(self.vocabulary)
-        at = np.searchsorted(self.vocabulary, hashes)
-        return np.where((at < v) & (self.vocabulary[np.minimum(at, max(v - 1, 0))] == hashes), at, v) if v else np.zeros(len(hashes), np.int64)
-
-    def hits(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places, in order, and terms of the pairs that some item has."""
-        at, keys = self._pairs(terms)
-        some = self.filter[self._slot(keys)]
-        at, keys = at[some], keys[some]
-        t = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        some = self.keys[t] == keys
-        at, t = at[some], t[some]
-        order = np.argsort(at, kind="stable")
-        return at[order], t[order]
-
-    def candidates(self, terms: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``(text, item, from, to)`` of windows that reach an item's threshold.
-        ``edge``: where the texts begin in ``terms``. Texts are parted by one word of
-        no item, so that no pair reaches from one into the next."""
-        at, hit = self.hits(terms)
+        if not v:
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), v - 1)
+        return np.where(self.vocabulary[at] == hashes, at, -1)
+
+    def near(self, letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(word, term)``: words of a text and the terms that they are one slip from."""
+        less, word = less_one(letters, begin, end)
+        low, high = np.searchsorted(self.less, less), np.searchsorted(self.less, less, "right")
+        word, term = np.repeat(word, high - low), self.less_word[_expand(low, high - low)]
+        both = np.unique(word * len(self.vocabulary) + term)
+        word, term = both // max(len(self.vocabulary), 1), both % max(len(self.vocabulary), 1)
+        text: dict[int, str] = {}
+        keep = []
+        for w, t in zip(word.tolist(), term.tolist(), strict=True):
+            if w not in text:
+                text[w] = "".join(map(chr, letters[begin[w] : end[w]]))
+            keep.append(text[w] != self.spelling[t] and one_slip(text[w], self.spelling[t]))
+        keep = np.array(keep, bool)
+        return word[keep], term[keep]
+
+    def hits(self, letters: np.ndarray, begin: np.ndarray, end: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, in order, and terms of the words that some item has or is near to."""
+        hashes = hash_words(letters, begin, end)
+        hashes[marks] = 0
+        kinds, sample, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        term = self.look_up(kinds)
+        own = np.flatnonzero(term >= 0)
+        word, near = self.near(letters, begin[sample], end[sample])
+        who, what = np.concatenate([own, word]), np.concatenate([term[own], near])
+        order = np.argsort(who, kind="stable")
+        who, what = who[order], what[order]
+        low, high = np.searchsorted(who, kind), np.searchsorted(who, kind, "right")
+        at, t = np.repeat(np.arange(len(kind)), high - low), what[_expand(low, high - low)]
+        # halves of a word: the second's letters are hashed at the places after the first
+        first = np.flatnonzero(~(marks[:-1] | marks[1:])) if len(marks) > 1 else np.zeros(0, np.int64)
+        if len(first):
+            n = (end - begin)[first + 1]
+            letter, place = _places(letters, begin[first + 1], n)
+            place += np.repeat((end - begin)[first], n).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                joined = hashes[first] + np.add.reduceat(mix(letter + (place << np.uint64(32))), np.cumsum(n) - n)
+            term = self.look_up(joined)
+            at, t = np.concatenate([at, first[term >= 0]]), np.concatenate([t, term[term >= 0]])
+            order = np.argsort(at, kind="stable")
+            at, t = at[order], t[order]
+        return at, t
+
+    def candidates(self, at: np.ndarray, hit: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``(text, item, from, to)`` of windows that reach an item's threshold and have
+        half of its words in order. ``edge``: where the texts begin among the words.
+        Texts are parted by one word of no item."""
         length = np.diff(edge) - 1
-        there = np.zeros(len(self.keys), bool)
-        for b, (block, span) in enumerate(zip(self.blocks, self.span, strict=True)):
-            if b % AT_ONCE == 0:
-                some = self.block_max[:, b : b + AT_ONCE]
-                sums = np.zeros((len(hit) + 1, some.shape[1]))
-                np.cumsum(some[hit], axis=0, dtype=np.float64, out=sums[1:])
+        impact = np.zeros(len(self.vocabulary), np.float32)
+        local = np.full(len(self.vocabulary), -1)
+        for b, span in enumerate(self.span):
+            terms = self.block_terms[b]
+            impact[terms], local[terms] = self.block_max[b], np.arange(len(terms))
+            run = np.zeros(len(hit) + 1)
+            np.cumsum(impact[hit], dtype=np.float64, out=run[1:])
             step = max(1, span // 4)
             n = np.maximum(1, -(-(length - span) // step) + 1) * (length > 0)
             text = np.repeat(np.arange(len(length)), n)
-            turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            low = edge[text] + turn * step
+            low = edge[text] + _expand(np.zeros(len(n), np.int64), n) * step
             high = np.minimum(low + span, edge[text] + length[text])
             first, last = np.searchsorted(at, low), np.searchsorted(at, high)
-            run = sums[:, b % AT_ONCE]
-            for w in np.flatnonzero(run[last] - run[first] >= self.block_threshold[b] * 0.999).tolist():
-                here = hit[first[w] : last[w]]
-                there[here] = True
-                for i in range(block.start, block.stop):
-                    u, impact = self.postings[i]
-                    if impact[there[u]].sum() >= self.threshold[i] * 0.999:
-                        yield int(text[w]), i, int(low[w]), int(high[w])
-                there[here] = False
+            some = np.flatnonzero(run[last] - run[first] >= self.block_threshold[b] * EPS)
+            if len(some):
+                mine = np.flatnonzero(local[hit] >= 0)
+                place, term = at[mine], local[hit[mine]]
+                first, last = np.searchsorted(mine, first[some]), np.searchsorted(mine, last[some])
+                for r, i in self._scored(b, place, term, first, last):
+                    w = some[r]
+                    yield int(text[w]), i, int(low[w]), int(high[w])
+            impact[terms], local[terms] = 0, -1
+
+    def _scored(self, b: int, place: np.ndarray, term: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Windows (runs of hits) and items of a block, exactly scored."""
+        terms, base = self.block_terms[b], self.blocks[b].start
+        items = range(base, self.blocks[b].stop)
+        table = item_bits([np.searchsorted(terms, self.words[i]) for i in items], len(terms))
+        need = SHARE * np.array([len(self.words[i]) for i in items])
+        own: dict[int, np.ndarray] = {}  # hits of each item
+        rows = max(1, CELLS // len(terms))
+        for c in range(0, len(first), rows):
+            lo, n = first[c : c + rows], (last - first)[c : c + rows]
+            count = np.bincount(term[_expand(lo, n)] * len(lo) + np.repeat(np.arange(len(lo)), n), minlength=len(lo) * len(terms))
+            count = count.reshape(len(terms), len(lo)).astype(np.float32)
+            of, at, mask, windows = [], [], [], []
+            for i in items:
+                u, tf, weight = self.postings[i]
+                held = np.minimum(count[np.searchsorted(terms, u)], tf[:, None].astype(np.float32))
+                # each place of half of the item counts, and so does its impact
+                row = np.flatnonzero((weight @ held >= self.threshold[i] * EPS) & (held.sum(axis=0) >= need[i - base]))
+                if not len(row):
+                    continue
+                bits = table[:, i - base]
+                if i not in own:
+                    own[i] = np.flatnonzero(bits.any(axis=0)[term])
+                low, high = np.searchsorted(own[i], lo[row]), np.searchsorted(own[i], (lo + n)[row])
+                take = own[i][_expand(low, high - low)]
+                of.append(np.repeat(np.arange(len(row)), high - low) + sum(map(len, windows)))
+                at.append(place[take])
+                mask.append(bits[:, term[take]])
+                windows.append(row * len(items) + (i - base))
+            if windows:
+                windows = np.concatenate(windows)
+                common = common_in_windows(np.concatenate(of), np.concatenate(at), np.concatenate(mask, axis=1), len(windows))
+                for k in windows[common >= need[windows % len(items)]].tolist():
+                    yield c + k // len(items), base + k % len(items)
+
+
+def item_bits(items: list[np.ndarray], v: int) -> np.ndarray:
+    """Words of 64 bits by word, item and term (below ``v``): the term's places."""
+    nw = max(-(-len(x) // 64) for x in items)
+    table = np.zeros((nw, len(items), v), np.uint64)
+    for i, x in enumerate(items):
+        k = np.arange(len(x))
+        np.bitwise_or.at(table, (k // 64, i, x), np.uint64(1) << (k % 64).astype(np.uint64))
+    return table
+
+
+def common_in_windows(of: np.ndarray, at: np.ndarray, mask: np.ndarray, n: int) -> np.ndarray:
+    """Length of the longest common subsequence of an item and a passage for each of
+    ``n`` windows: ``of`` (rising) tells the window of each hit, ``at`` (rising in a
+    window) its place, ``mask`` the item's places with its term, a bit each in words of
+    64. Hits of one place match any of their terms. All windows a place at a time."""
+    nw = len(mask)
+    if not len(of):
+        return np.zeros(n, np.int64)
+    fresh = np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1])]
+    if not fresh.all():
+        start = np.flatnonzero(fresh)
+        mask, of = np.bitwise_or.reduceat(mask, start, axis=1), of[start]
+    # windows with more places first, and first places of all windows first
+    count = np.bincount(of, minlength=n)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    alive = np.searchsorted(-count[order], -np.arange(int(count.max())), "left")
+    turn = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+    begin = np.cumsum(alive) - alive
+    laid = np.empty_like(mask)
+    laid[:, begin[turn] + rank[of]] = mask
+    rest = np.full((nw, n), 2**64 - 1, np.uint64)
+    for b, m in zip(begin.tolist(), alive.tolist(), strict=True):
+        carry = None
+        for w in range(nw):
+            r = rest[w, :m]
+            hit = r & laid[w, b : b + m]
+            total = r + hit
+            if w + 1 < nw:
+                over = total < hit
+            if carry is not None:
+                total += carry
+                if w + 1 < nw:
+                    over |= carry & (total == 0)
+            if w + 1 < nw:
+                carry = over
+            np.subtract(r, hit, out=r)
+            np.bitwise_or(r, total, out=r)
+    # bits that no place of the item has never fall
+    out = np.empty(n, np.int64)
+    out[order] = 64 * nw - np.bitwise_count(rest).sum(axis=0, dtype=np.int64)
+    return out
 
 
 def common_words(bits: dict, n: int, words: list) -> int:
@@ -284,7 +438,7 @@ class Slips:
         self.less: dict[str, list[str]] = {}
         self.seen: dict[str, str] = {}
         for w in sorted(self.known):
-            if len(w) >= 4:
+            if len(w) >= SLIP_FROM:
                 for x in self._less(w):
                     self.less.setdefault(x, []).append(w)
 
@@ -293,10 +447,10 @@ class Slips:
         return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
 
     def right(self, w: str) -> str:
-        if w in self.known or not 4 <= len(w) <= 60:
+        if w in self.known or not SLIP_FROM <= len(w) <= SLIP_TO:
             return w
         if w not in self.seen:
-            if len(self.seen) > 50_000:
+            if len(self.seen) > 50_000:  # bounds memory; a word is looked up anew
                 self.seen.clear()
             near = (k for x in self._less(w) for k in self.less.get(x, ()) if one_slip(w, k))
             self.seen[w] = min(near, default=w)
@@ -333,23 +487,21 @@ def holds(item: list[str], passage: list[str], slips: Slips | None = None) -> bo
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        slips: dict[int, Slips] = {}
+        items: dict[int, tuple[list[str], Slips]] = {}
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_pylist()
                 text = plain(ROW.join((t or "").replace(ROW, " ") for t in part.column("text").to_pylist()) + ROW)
                 letters, begin, end = fold(text)
                 marks = letters[begin] == 2  # the last word of each text
-                terms = index.look_up(hash_words(letters, begin, end))
-                terms[marks] = len(index.vocabulary)
                 edge = np.r_[0, np.flatnonzero(marks) + 1]
                 found: set[tuple[int, int]] = set()
-                for r, i, low, high in index.candidates(terms, edge):
+                for r, i, low, high in index.candidates(*index.hits(letters, begin, end, marks), edge):
                     if (r, i) not in found:
                         passage = ["".join(map(chr, letters[b:e])) for b, e in zip(begin[low:high], end[low:high], strict=True)]
-                        if i not in slips:
-                            slips[i] = Slips(index.words[i])
-                        if holds(index.words[i], passage, slips[i]):
+                        if i not in items:
+                            items[i] = (index.item(i), Slips(index.item(i)))
+                        if holds(items[i][0], passage, items[i][1]):
                             found.add((r, i))
                 if found:
                     yield pa.RecordBatch.from_arrays(
@@ -381,16 +533,22 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     hyphens at line ends and broken encodings don't matter. An item without words
     (null, blank, marks alone) leaks nowhere; a null text holds nothing; null ids
     are left out. Documents are read once per index of items (see
-    :func:`index_shards`), nothing of them is shuffled but the pairs found.
+    :func:`index_shards`), nothing of them is shuffled but the pairs found. With more
+    than one index, each one's pairs are written before the next is made and sent.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    out = None
-    for index in index_shards(items):
-        if not index.ids:
-            continue
-        found = docs.mapInArrow(_scan(spark.sparkContext.broadcast(index)), "doc_id long, item_id long")
+    shards = (x for x in index_shards(items) if x.ids)
+    index = next(shards, None)
+    if index is None:
+        return spark.createDataFrame([], PAIRS)
+    out, scratch = None, Scratch(spark, "leaks")
+    while index is not None:
+        sent = spark.sparkContext.broadcast(index)
+        found = docs.mapInArrow(_scan(sent), PAIRS)
+        number, index = 0 if out is None else number + 1, next(shards, None)
+        if index is not None or out is not None:
+            found = scratch.write(found, f"shard{number}")
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long")
     return out.distinct()

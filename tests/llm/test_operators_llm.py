@@ -397,6 +397,70 @@ def test_leaks_with_words_added_or_left_out_throughout(spark):
     assert leaked(spark, [f"{FILL} {x} {FILL}" for x in (added, left_out)], [(1, item)]) == {0, 1}
 
 
+def slipped(rnd, w):
+    """One letter changed, left out or put in, or two neighbours swapped."""
+    i, c = rnd.randrange(len(w) - 1), rnd.choice("bcdfghjk")
+    return rnd.choice([w[:i] + c + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+
+@pytest.mark.parametrize("pattern", ["KKXX", "KKSS", "KSS", "KSSS", "SSSSK", "KX", "KKKXX", "XK", "S", "KXXK", "KAKAX"])
+def test_retrieval_loses_no_pattern_that_is_accepted(spark, pattern):
+    """K kept, S one slip, X another word in its place, A kept with a word added."""
+    rnd = random.Random(pattern)
+    word = lambda n=7: "".join(rnd.choice("aeiounrstlmp") for _ in range(n))
+    items, docs, want = [], [], set()
+    for i in range(40):
+        item = [word(rnd.randint(5, 9)) for _ in range(40)]
+        items.append((i, " ".join(item)))
+        made = [{"K": lambda w: w, "S": lambda w: slipped(rnd, w), "X": lambda w: word(), "A": lambda w: w + " " + word()}[pattern[k % len(pattern)]](w) for k, w in enumerate(item)]
+        fill = [" ".join(word() for _ in range(rnd.randint(0, 150))) for _ in range(2)]
+        docs.append((i, f"{fill[0]} {' '.join(made)} {fill[1]}"))
+        if leakage.holds(item, " ".join(made).split()):
+            want.add((i, i))
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in leakage.leaks(d, t).collect()}
+    assert len(want) >= 39 and want <= got and len(got - want) <= 1
+
+
+def test_least_letters_are_found_by_hash():
+    words = ["abcd", "hexagon", "x", "isomerase"]
+    letters = np.array([ord(c) for w in words for c in w], np.uint32)
+    end = np.cumsum([len(w) for w in words])
+    less, word = leakage.less_one(letters, np.r_[0, end][:-1], end)
+    want = {(int(leakage.words_of(x)[1][0]), k) for k, w in enumerate(words) if len(w) >= 4 for x in leakage.Slips._less(w)}
+    assert set(zip(less.tolist(), word.tolist(), strict=True)) == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=200), st.lists(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=2, unique=True), max_size=150), min_size=1, max_size=4))
+def test_common_in_windows(item, windows):
+    """Against dynamic programming, with places that match any of two terms."""
+    table = leakage.item_bits([np.array(item)], 10)
+    of, at, mask = [], [], []
+    for r, window in enumerate(windows):
+        for place, terms in enumerate(window):
+            for t in terms:
+                of.append(r)
+                at.append(place)
+                mask.append(table[:, 0, t])
+    masks = np.array(mask, np.uint64).T.reshape(len(table), len(of))
+    got = leakage.common_in_windows(np.array(of, np.int64), np.array(at, np.int64), masks, len(windows))
+    for r, window in enumerate(windows):
+        line = [0] * (len(window) + 1)
+        for x in item:
+            before = line[:]
+            for j, terms in enumerate(window):
+                line[j + 1] = before[j] + 1 if x in terms else max(before[j + 1], line[j])
+        assert got[r] == line[-1]
+
+
+def test_an_index_of_the_greatest_size_is_bounded():
+    rnd = random.Random(3)
+    items = [(i, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(120))) for i in range(1000)]
+    index = leakage.Index(items)
+    assert index.nbytes() < 60 * sum(len(t) for _, t in items)
+
+
 def test_no_leaks(spark):
     rnd = random.Random(1)
     mixed = WORDS[:]
