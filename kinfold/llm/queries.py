@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.labels import family_key, family_key_sql, superfamily_key, superfamily_key_sql
 from kinfold.functions.sequences import clean_sequence_sql, usable_proteins
 from kinfold.llm.chunking import split_texts
-from kinfold.llm.components import grouped_splits, linked_key_pairs
+from kinfold.llm.components import LARGE, SEEDS, TOLERANCE, GroupedSplits
 from kinfold.llm.leakage import leaks
 from kinfold.llm.near_duplicates import NearDuplicates
 from kinfold.llm.overlap import SplitOverlap, current_split
@@ -28,26 +28,41 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pid", superfamily_key(F.col("superfamily")).alias("superfamily"), family_key(F.col("family")).alias("family"))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return linked_key_pairs(_keyed(spark, d).drop("pid"), KEYS, "superfamily", Scratch(spark, "p1"))
+def _settings(df: DataFrame) -> list:
+    """Rows of a table of settings; one that holds data is refused."""
+    rows = df.limit(MAX_SETTINGS + 1).collect()
+    if len(rows) > MAX_SETTINGS:
+        raise ValueError(f"more than {MAX_SETTINGS} rows of settings")
+    return rows
 
 
 def _shares(spark: SparkSession, d: str) -> dict[str, float]:
-    rows = table(spark, d, "split_plan").limit(MAX_SETTINGS).collect()  # a setting, not data
-    return {r["split"]: r["share"] for r in rows}
+    return {r["split"]: r["share"] for r in _settings(table(spark, d, "split_plan"))}
+
+
+def _splits(spark: SparkSession, d: str) -> GroupedSplits:
+    return GroupedSplits(_keyed(spark, d), "pid", KEYS, _shares(spark, d), Scratch(spark, "p1"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Superfamilies that the splits keep together."""
+    return _splits(spark, d).linked("superfamily").drop("split")
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     """The split of each protein, with its component."""
-    return grouped_splits(_keyed(spark, d), "pid", KEYS, _shares(spark, d), Scratch(spark, "p1"))
+    return _splits(spark, d).splits
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """Proteins and components per split, against the plan."""
-    got = p1_splits(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("n_components"))
+    got = _splits(spark, d).assigned.where("n > 0").groupBy("split").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_components"))
     plan = table(spark, d, "split_plan").select("split", F.col("share").alias("wanted"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # a row per split
-    return plan.join(got, "split", "left").select("split", "wanted", F.coalesce("n", F.lit(0)).alias("n"), "n_components", (F.col("n") / total).alias("share"))
+    total = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(F.lit(1)))  # a row per split
+    share = F.coalesce("n", F.lit(0)) / total
+    return plan.join(got, "split", "left").select(
+        "split", "wanted", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_components", F.lit(0)).alias("n_components"),
+        F.round(share, 9).alias("share"), F.round(share - F.col("wanted"), 9).alias("error"))
 
 
 def _near(spark: SparkSession, d: str) -> tuple[NearDuplicates, Scratch]:
@@ -218,13 +233,38 @@ QUOTA_SQL = f"""with once as (select pid, any_value(sequence) sequence, any_valu
   {_level_sql(2, "case when starts_with(leaf, 'cl') then 'cl' else split_part(leaf, '.', 1) end")},
   {_level_sql(3, "'root'")}"""
 
-ORACLE = {
-    "p1_found": f"""with recursive e as (select distinct 's:' || {superfamily_key_sql('superfamily')} a, 'f:' || {family_key_sql('family')} b from proteins),
-  n as (select a v, b u from e where a is not null and b is not null union select b, a from e where a is not null and b is not null),
+COMPONENT_SQL = f"""rec as (select distinct pid, 's:' || {superfamily_key_sql('superfamily')} sn, 'f:' || {family_key_sql('family')} fn from proteins),
+  noded as (select *, coalesce(sn, fn, 'id:' || pid) node from rec),
+  torn as (select pid from noded where pid is not null group by 1 having count(distinct node) > 1),
+  e as (select distinct sn a, fn b from noded where sn is not null and fn is not null union select 'id:' || pid, node from noded where pid in (from torn)),
+  n as (select a v, b u from e union select b, a from e union select node, node from noded where node is not null and not starts_with(node, 'id:')),
   r(v, root) as (select v, v from n union select n.u, r.root from r join n on n.v = r.v),
-  c as (select v, min(root) root from r group by v)
+  c as (select v, min(root) root from r group by v)"""
+
+# the same draws and the same search for a seed
+SPLITS_SQL = f"""{COMPONENT_SQL},
+  member as (select pid, min(coalesce(root, node)) component from noded left join c on v = node where pid is not null group by 1),
+  sizes as (select component, count(*) n from member group by 1),
+  plan as (select split, share / (select sum(share) from split_plan where share > 0) w from split_plan where share > 0),
+  total as (select sum(n)::double t from sizes),
+  tried as (select seed, component, n, arg_max(split, -w / ln((('0x' || substr(md5(seed || ':' || component || ':' || split), 1, 12))::bigint + 1) / (2.0::double ** 48 + 1))) split
+    from sizes, plan, range({SEEDS}) x(seed), total where n * {LARGE} >= t group by all),
+  filled as (select seed, split, sum(n) g from tried group by all),
+  missed as (select seed, max(abs((coalesce(g, 0) + rest * w) / t - w)) m
+    from (select seed, t - sum(n) rest, t from tried, total group by seed, t) join plan on true left join filled using (seed, split) group by seed),
+  best as (select coalesce(min(seed) filter (m <= {TOLERANCE}), arg_min(seed, (m, seed))) seed from missed),
+  splits as (select pid, component, split from member join (
+    select component, arg_max(split, -w / ln((('0x' || substr(md5(seed || ':' || component || ':' || split), 1, 12))::bigint + 1) / (2.0::double ** 48 + 1))) split
+    from sizes, plan, best group by 1) using (component))"""
+
+ORACLE = {
+    "p1_found": f"""with recursive {COMPONENT_SQL}
   select substr(x.v, 3) superfamily_a, substr(y.v, 3) superfamily_b from c x join c y on x.root = y.root
   where x.v like 's:%' and y.v like 's:%' and x.v < y.v""",
+    "p1_splits": f"with recursive {SPLITS_SQL} select pid, component, split from splits",
+    "p1_shares": f"""with recursive {SPLITS_SQL}, got as (select split, count(*) n, count(distinct component) k from splits group by 1)
+  select p.split, p.share wanted, coalesce(n, 0) n, coalesce(k, 0) n_components, round(coalesce(n, 0) / (sum(n) over ())::double, 9) share,
+    round(coalesce(n, 0) / (sum(n) over ())::double - p.share, 9) error from split_plan p left join got g on g.split = p.split""",
     "p3_found": f"""with {USABLE_SQL} select a pid_a, b pid_b from common join sizes m on m.pid = a join sizes n on n.pid = b
   where c * 2 >= m.n + n.n - c""",
     "p4_found": f"{OVERLAP_SQL} select least(e, t) pid_a, greatest(e, t) pid_b from pairs",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.sequences import RESIDUES
 from kinfold.llm import chunking, leakage, near_duplicates, packing, tokens
-from kinfold.llm.components import grouped_splits, hash_to_min
+from kinfold.llm.components import GroupedSplits, grouped_splits, hash_to_min
 from kinfold.llm.near_duplicates import NearDuplicates
 from kinfold.llm.overlap import SplitOverlap, current_split
 from kinfold.llm.packing import best_fit, evolve, pack
@@ -75,6 +75,33 @@ def test_grouped_splits_close_to_the_shares_with_a_hot_group(spark):
         assert all(len(s) == 1 for s in by.values())
 
 
+def test_a_new_record_moves_no_other_component(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 300}", f"f{i % 900}" if i % 7 == 1 else None, "x", 1) for i in range(3000)]
+    first = GroupedSplits(records(spark, rows), "pid", KEYS, {"train": 0.8, "test": 0.2}, scratch(spark))
+    more = [*rows, *[(9000 + i, "new", None, "x", 1) for i in range(400)], (9900, "hot", None, "x", 1), (9901, None, None, "x", 1), (None, "n1", "n2", "x", 1)]
+    again = GroupedSplits(records(spark, more), "pid", KEYS, {"train": 0.8, "test": 0.2}, scratch(spark), seed=first.seed)
+    before = {r["pid"]: r["split"] for r in first.splits.collect()}
+    after = {r["pid"]: r["split"] for r in again.splits.collect()}
+    assert len(after) == 3402 and all(after[p] == s for p, s in before.items())
+    assert {r["component"]: r["n"] for r in again.assigned.collect()}["f:n2"] == 0
+
+
+def test_the_seed_that_is_taken_comes_close(spark):
+    rows = [(i, "big" if i < 300 else f"s{i % 70}", None, "x", 1) for i in range(1000)]
+    for tolerance in (0.0, 0.03):
+        got = GroupedSplits(records(spark, rows), "pid", KEYS, {"a": 0.6, "b": 0.4}, scratch(spark), tolerance=tolerance)
+        a = sum(r["n"] for r in got.assigned.where("split = 'a'").collect())
+        assert abs(a / 1000 - 0.6) < 0.03
+    assert GroupedSplits(records(spark, rows), "pid", KEYS, {"a": 1.0}, scratch(spark)).seed == 0
+
+
+def test_linked_keys_are_those_of_one_split(spark):
+    rows = [(1, "a", "f", None, None), (2, "b", "f", None, None), (None, "b", "g", None, None), (3, "c", "g", None, None), (4, "d", "h", None, None), (5, None, None, None, None)]
+    got = GroupedSplits(records(spark, rows), "pid", KEYS, {"x": 1.0, "y": 1.0}, scratch(spark))
+    pairs = got.linked("superfamily").collect()
+    assert {(r[0], r[1]) for r in pairs} == {("a", "b"), ("a", "c"), ("b", "c")} and len({r["split"] for r in pairs}) == 1
+
+
 def test_ids_whose_rows_differ_link_their_keys(spark):
     rows = [(1, "a", None, None, None), (1, "b", None, None, None), (1, "c", None, None, None), (2, "a", None, None, None), (3, "b", None, None, None), (4, "c", None, None, None)]
     got = grouped_splits(records(spark, rows), "pid", KEYS, {"a": 1.0, "b": 1.0}, scratch(spark)).collect()
