@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,7 +14,11 @@ from kinfold.session import Scratch
 
 #: Items of a block, islands that work on each block, and effort per epoch.
 BLOCK_ITEMS, ISLANDS, EPOCHS = 2000, 2, 2
-POPULATION, GENERATIONS, CROSSINGS = 6, 8, 3
+POPULATION, GENERATIONS, CROSSINGS = 10, 60, 6
+#: Generations without a better packing that end an epoch.
+PATIENCE = 8
+#: Containers with most room that exchange items with the displaced ones.
+ROOMIEST = 24
 #: Containers less full than this are emptied and their items packed once more.
 WEAK = 0.98
 
@@ -50,9 +56,63 @@ def fitness(sizes: list[int], bins: Bins, capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """Bins that no packing can do without: by the sum of sizes, and, for each size up
+    to half a bin, by the items that can't share a bin with one of that size or with
+    each other and what they leave to the others."""
+    ordered = sorted(sizes)
+    run = [0]
+    for s in ordered:
+        run.append(run[-1] + s)
+    half, best = bisect_right(ordered, capacity // 2), -(-run[-1] // capacity)
+    for small in {0, *ordered[:half]}:
+        alone = bisect_right(ordered, capacity - small)  # from here on nothing of this size fits beside them
+        low = bisect_left(ordered, small)
+        room = (alone - half) * capacity - (run[alone] - run[half])
+        rest = run[half] - run[low] - room
+        best = max(best, len(ordered) - half + max(0, -(-rest // capacity)))
+    return max(1, best)
+
+
+def exchange(sizes: list[int], bins: Bins, free: list[int], capacity: int) -> list[int]:
+    """One or two items of a bin with room change places with one or two displaced
+    items, if the bin gets fuller by it; what is displaced then, by rising size."""
+    free = sorted(free, key=lambda i: sizes[i])
+    rooms = sorted(((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins)), reverse=True)
+    for room, k in rooms[:ROOMIEST]:
+        if room <= 0 or not free:
+            break
+        b = bins[k]
+        have = [sizes[i] for i in free]
+        gain, change = 0, None
+        for out in (*((x,) for x in b), *combinations(b, 2)):
+            gone = sum(sizes[i] for i in out)
+            most = gone + room
+            at = bisect_right(have, most) - 1
+            if at >= 0 and have[at] - gone > gain:
+                gain, change = have[at] - gone, (out, (at,))
+            low, high = 0, at
+            while low < high and gain < room:
+                both = have[low] + have[high]
+                if both > most:
+                    high -= 1
+                    continue
+                if both - gone > gain:
+                    gain, change = both - gone, (out, (low, high))
+                low += 1
+            if gain == room:
+                break
+        if change:
+            out, into = change
+            bins[k] = [i for i in b if i not in out] + [free[x] for x in into]
+            free = sorted([f for x, f in enumerate(free) if x not in into] + list(out), key=lambda i: sizes[i])
+    return free
+
+
 def cross(sizes: list[int], into: Bins, donor: Bins, capacity: int, rng: random.Random) -> Bins:
     """Injects some of the donor's fullest bins whole, removes the bins that hold a
-    copy of an injected item, and best-fits the items displaced by that."""
+    copy of an injected item, lets the items displaced by that change places with
+    others where a bin gets fuller, and best-fits the rest."""
     full = sorted(donor, key=lambda b: sum(sizes[i] for i in b) + rng.random(), reverse=True)
     taken = rng.sample(full[: max(1, len(full) * 2 // 3)], k=max(1, rng.randint(len(full) // 8, max(1, len(full) // 2))))
     inside = {i for b in taken for i in b}
@@ -68,33 +128,45 @@ def cross(sizes: list[int], into: Bins, donor: Bins, capacity: int, rng: random.
         displaced += b
         b.clear()
     child = [b for b in child if b]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(sizes, displaced, capacity, child)
+    displaced = exchange(sizes, child, displaced, capacity)
+    return best_fit(sizes, displaced[::-1], capacity, child)
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[Bins], seed: str) -> Bins:
-    """The best packing found; at once if it needs no more bins than the sum of
-    sizes does. The first packing is best-fit decreasing, so no result is worse."""
+    """The best packing found. It ends at once when a packing has as few bins as any
+    can have (:func:`least_bins`), else after PATIENCE generations without a better
+    one. The first packing is best-fit decreasing, so no result is worse."""
     rng = random.Random(seed)
-    bound = max(1, -(-sum(sizes) // capacity))
+    bound = least_bins(sizes, capacity)
     decreasing = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     people = [*elites, best_fit(sizes, decreasing, capacity, [])]
-    score = lambda b: fitness(sizes, b, capacity)
-    people.sort(key=score, reverse=True)
-    if len(people[0]) <= bound:
-        return people[0]
-    while len(people) < POPULATION:
-        noisy = sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.8, 1.2))
-        people.append(best_fit(sizes, noisy, capacity, []))
+    scored = sorted(((fitness(sizes, b, capacity), k, b) for k, b in enumerate(people)), reverse=True)
+    if -scored[0][0][0] <= bound:
+        return scored[0][2]
+    born = len(scored)
+
+    def add(b: Bins) -> None:
+        nonlocal born
+        born += 1
+        scored.append((fitness(sizes, b, capacity), born, b))
+
+    while len(scored) < POPULATION:
+        add(best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.8, 1.2)), capacity, []))
+    scored.sort(reverse=True)
+    still = 0
     for _ in range(GENERATIONS):
+        before = scored[0][0]
         for _ in range(CROSSINGS):
-            a, b = rng.sample(people, 2)
-            people.append(cross(sizes, a, b, capacity, rng))
-        people.sort(key=score, reverse=True)
-        people = people[:POPULATION]
-        if len(people[0]) <= bound:
+            (_, _, a), (_, _, b) = rng.sample(scored[:POPULATION], 2)
+            add(cross(sizes, a, b, capacity, rng))
+        # of packings of one fitness the youngest lives on
+        scored = sorted({s[0]: s for s in sorted(scored)}.values(), reverse=True)[:POPULATION]
+        if -scored[0][0][0] <= bound:
+            break
+        still = 0 if scored[0][0] > before else still + 1
+        if still == PATIENCE or len(scored) < 2:
             break
-    return people[0]
+    return scored[0][2]
 
 
 def _epoch(capacity: int, epoch: int):

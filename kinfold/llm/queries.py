@@ -155,6 +155,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_containers"), F.ceil(F.sum("size") / capacity).alias("n_least"), F.avg(F.col("size") / capacity).alias("filling"), F.max("size").alias("fullest"))
 
 
+def p6_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's parts and tokens as they lie in containers, and whether all of
+    these hold no more than they can."""
+    capacity = _limit(spark, d, "container")[0]
+    parts = p6_containers(spark, d)
+    filled = parts.groupBy("container_id").agg(F.sum("size").alias("filled"))
+    return parts.join(filled, "container_id").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("n_tokens"), (F.max("filled") <= capacity).alias("within"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "test_items"))
 
@@ -166,7 +176,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap = _limit(spark, d, "piece")
-    pieces = split_texts(table(spark, d, "documents"), limit, overlap, with_text=False)
+    pieces = split_texts(table(spark, d, "documents"), limit, overlap)
     return pieces.where("piece = 1").select("doc_id").distinct()
 
 
@@ -178,7 +188,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_splits, p1_shares, p3_found, p3_groups, p4_found, p4_by_source, p4_by_superfamily, p5_found,
-              p5_report, p5_sample, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_pieces)
+              p5_report, p5_sample, p6_found, p6_containers, p6_parts, p6_fill, p7_found, p7_items, p8_found, p8_pieces)
 }
 
 USABLE_SQL = f"""
@@ -275,5 +285,7 @@ ORACLE = {
     "p5_sample": f"""{QUOTA_SQL} select pid, leaf superfamily from (select p.pid, p.leaf, q3.quota,
     row_number() over (partition by p.leaf order by md5('42:' || p.pid), p.pid) r from placed p join q3 using (leaf)) where r <= quota""",
     "p6_found": f"select doc_id from documents where {TOKENS_SQL} > (select max_tokens from size_limits where purpose = 'container')",
+    "p6_parts": f"""with s as (select doc_id, {TOKENS_SQL} n, (select max_tokens from size_limits where purpose = 'container') c from documents)
+  select doc_id, greatest(1, (n + c - 1) // c)::bigint n_parts, n::bigint n_tokens, true within from s""",
     "p8_found": f"select doc_id from documents where {TOKENS_SQL} > (select max_tokens from size_limits where purpose = 'piece')",
 }

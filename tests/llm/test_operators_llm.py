@@ -323,62 +323,57 @@ def test_evolution_keeps_every_item_and_never_loses_to_best_fit(sizes, seed):
     assert len(got) <= len(best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 50, []))
 
 
-def test_evolution_beats_best_fit_where_it_can():
-    sizes = [6, 6, 5, 5, 5, 4, 4, 4, 4, 3, 3, 3, 3, 3, 2, 2, 2] * 3
-    plain = best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 12, [])
-    assert len(evolve(sizes, 12, [], "s")) <= len(plain)
-
-
-def documents(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("piece", F.lit("x"))
-
-
-def long_text(rnd, n):
-    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 8)))
-    return "".join(word() + rnd.choice([" ", " ", " ", ". ", "\n", "\r\n\r\n", "\n\n", "-", ", ", "\n>"]) for _ in range(n))
-
-
-def test_pieces_round_trip(spark):
-    rnd = random.Random(7)
-    rows = [(i, long_text(rnd, n)) for i, n in enumerate([0, 1, 30, 60, 61, 200, 3000])] + [(10, None), (11, ""), (12, "a" * 50_000), (13, "..." * 400), (14, "ab " * 500)]
-    got = chunking.split_texts(documents(spark, rows), 64, 10).collect()
-    for i, t in rows:
-        mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])
-        if t is None:
-            assert mine == []
-            continue
-        n = len(regex.findall(PATTERN, t))
-        assert (len(mine) > 1) == (n > 64) and [r["piece"] for r in mine] == list(range(len(mine)))
-        assert "".join(t[r["core_char"] : r["end_char"]] for r in mine) == t
-        for r in mine:
-            assert r["text"] == t[r["start_char"] : r["end_char"]]
-            assert len(regex.findall(PATTERN, r["text"])) == r["n_tokens"] <= 64
-        for a, b in zip(mine, mine[1:], strict=False):
-            assert regex.findall(PATTERN, a["text"])[-10:] == regex.findall(PATTERN, b["text"])[:10]
-    assert chunking.split_texts(documents(spark, rows).where("false"), 64, 10).count() == 0
-
-
-def test_an_edit_alters_only_pieces_near_it(spark):
+def best_fit_bins(sizes, capacity):
+    return len(best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), capacity, []))
+
+
+def test_evolution_uses_fewer_bins_than_best_fit():
+    """Triples that fill bins, and items of which at most three go into one."""
+    rnd = random.Random(4)
+    triples = []
+    for _ in range(40):
+        a = rnd.randint(380, 490)
+        b = rnd.randint(250, (1000 - a) // 2)
+        triples += [a, b, 1000 - a - b]
+    for sizes, saved in ((triples, 3), ([rnd.randint(260, 519) for _ in range(600)], 5)):
+        bins = evolve(sizes, 1000, [], "seed")
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert max(sum(sizes[i] for i in b) for b in bins) <= 1000
+        assert packing.least_bins(sizes, 1000) <= len(bins) <= best_fit_bins(sizes, 1000) - saved
+
+
+def fewest(sizes, capacity):
+    """By trying every bin for every item."""
+    best = len(sizes) or 1
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= sizes[i]}:
+            rest = list(rooms)
+            rest.remove(r)
+            put(i + 1, [*rest, r - sizes[i]])
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 21), min_size=1, max_size=8), st.integers(21, 24))
+def test_no_packing_has_fewer_bins_than_the_bound(sizes, capacity):
+    assert packing.least_bins(sizes, capacity) <= fewest(sizes, capacity)
+
+
+def test_islands_and_migration_beat_best_fit(spark):
     rnd = random.Random(8)
-    text = long_text(rnd, 6000)
-    middle = text.index(" ", len(text) // 2)
-    rows = [(1, text), (2, text[:middle] + " some other words put in here" + text[middle:])]
-    pieces = {d: [r["text"] for r in sorted(chunking.split_texts(documents(spark, rows), 384, 48).where(F.col("doc_id") == d).collect(), key=lambda r: r["piece"])] for d in (1, 2)}
-    assert len(pieces[1]) > 25 and len(set(pieces[2]) - set(pieces[1])) <= 5
-
-
-def test_cuts_prefer_strong_boundaries():
-    rnd = random.Random(9)
-    paragraphs = [" ".join("w" + str(rnd.randrange(10**6)) for _ in range(60)) for _ in range(40)]
-    text = "\n\n".join(paragraphs)
-    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
-    points, starts = tokens.code_points(batch.column("text"))
-    kind, opens = tokens.token_starts(points, starts)
-    b = np.flatnonzero(opens)
-    e = chunking._ends(kind, b)
-    strength = chunking.boundaries(points, b, e)
-    places = chunking.cuts(chunking.token_hashes(points, b, e), strength, 84, 336)
-    assert len(places) > 5 and all(strength[p] == chunking.PARAGRAPH for p in places)
+    sizes = [rnd.randint(260, 519) for _ in range(300)]
+    got = pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, size long"), 1000, scratch(spark))
+    assert got.select("container_id").distinct().count() <= best_fit_bins(sizes, 1000) - 2
 
 
 # --- 7: leakage -----------------------------------------------------------------
