@@ -162,7 +162,7 @@ def p6_parts(spark: SparkSession, d: str) -> DataFrame:
     parts = p6_containers(spark, d)
     filled = parts.groupBy("container_id").agg(F.sum("size").alias("filled"))
     return parts.join(filled, "container_id").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("n_tokens"), (F.max("filled") <= capacity).alias("within"))
+        F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("n_tokens"), (F.max("filled") <= capacity).alias("fits"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -286,6 +286,6 @@ ORACLE = {
     row_number() over (partition by p.leaf order by md5('42:' || p.pid), p.pid) r from placed p join q3 using (leaf)) where r <= quota""",
     "p6_found": f"select doc_id from documents where {TOKENS_SQL} > (select max_tokens from size_limits where purpose = 'container')",
     "p6_parts": f"""with s as (select doc_id, {TOKENS_SQL} n, (select max_tokens from size_limits where purpose = 'container') c from documents)
-  select doc_id, greatest(1, (n + c - 1) // c)::bigint n_parts, n::bigint n_tokens, true within from s""",
+  select doc_id, greatest(1, (n + c - 1) // c)::bigint n_parts, n::bigint n_tokens, true fits from s""",
     "p8_found": f"select doc_id from documents where {TOKENS_SQL} > (select max_tokens from size_limits where purpose = 'piece')",
 }
