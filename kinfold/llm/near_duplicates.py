@@ -18,22 +18,27 @@ in one global order, which must hold at least ``q`` of the shared ones, and spre
 them over ``q - 1`` parts by hash: two shared k-mers meet in one part. The part's
 parity with all but two of its k-mers taken out, the XOR of two k-mer hashes, is
 the join key. With ``q = K/2 + 1`` the K - q k-mers that come last in the global order
-are never needed. Frequent k-mers (seen in a bounded sample), such as those of a
-domain that many texts share, are put there. A set with at most K - q of them has
-none left, so whatever it shares with any other set is found without them, and
-nobody's frequent k-mers are used. Two sets that both have more meet in a second
-round of their own, with a smaller ``q`` and bands of a third, that leaves out most of
-T. What counts as frequent changes the work done, never the result.
+are never needed. The global order is that of rising document frequency, counted over
+all texts, so the k-mers of a domain that many texts share come last. Those far more
+frequent than the rest are left out where a set has no more of them than are not needed:
+whatever such a set shares with any other is found without them, and nobody's frequent
+k-mers are used. Two sets that both have more meet in a second round of their own, with
+a smaller ``q`` and bands of a third, that leaves out most of T. What counts as frequent
+changes the work done, never the result.
 
 The lowest bit of a key marks sets so large that two of them have more than the
 band's T; they meet smaller ones only.
 
 Two unrelated sets have the same two k-mers in one part about once in millions of
-pairs, so nearly all keys occur once and go in one streaming pass.
+pairs, so nearly all keys occur once. They travel packed, a few bytes each, in blocks of
+a task's texts, and are sorted in numpy. The sets of a key that many have are cut into
+blocks, and each pair of blocks is compared by its sketches on its own, so no task has
+more than a pair of blocks to do.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -43,16 +48,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import kmers as K
+from kinfold.llm.packed_join import MET, hot_rows, meet, met_in_blocks, pack
 from kinfold.session import Scratch
 
 SKETCH_WORDS = 8
 BITS = 64 * SKETCH_WORDS
-#: Sequences in the sample that frequent k-mers are taken from, and the share of
-#: them from which a k-mer counts as frequent. They steer the order only.
-SAMPLE_ROWS, FREQUENT = 4096, 0.005
-LAST = np.uint64(1 << 63)
-#: Join keys per shuffle partition.
-KEYS_PER_PARTITION = 1_000_000
+#: A k-mer is frequent from this count on, and from so many times the mean count.
+#: These steer the order only.
+HOT_LEAST, HOT_TIMES = 64, 8
+#: Counters of k-mers; more k-mers than that share them.
+SLOTS, RANGES = 1 << 22, 16
+#: Join keys per partition, and keys of one block of texts.
+KEYS_PER_PARTITION, BLOCK_KEYS = 1_000_000, 2_000_000
+#: Sets of one key that are paired where they meet; more are cut into blocks.
+PAIRED, BLOCK_SETS = 200, 2048
 
 
 def least_shared(a, b, t: Fraction):
@@ -121,95 +130,142 @@ def describe(k: int):
 DESCRIBED = "id long, seq string, size int, fp1 long, fp2 long, " + ", ".join(f"w{i} long" for i in range(SKETCH_WORDS))
 
 
-def join_keys(k: int, t: Fraction, frequent: np.ndarray):
-    """``(sig, id)`` for each text, as in the module's description."""
-
-    def of_band(row, h, rank_key, size, band, q, salt):
-        # first a - K + q of each set in the global order
-        order = np.lexsort((rank_key, row))
-        row, h, hot = row[order], h[order], rank_key[order] >= LAST
-        start = np.r_[0, np.cumsum(np.bincount(row, minlength=len(size)))][:-1]
-        place = np.arange(len(row)) - start[row]
-        keep = place < size[row] - band + q
-        if salt == 0:
+class Frequencies:
+    """How often each k-mer occurs, on a scale of eighths of powers of two."""
+
+    def __init__(self, levels: np.ndarray, hot: int, k: int):
+        self.levels, self.hot, self.k = levels, hot, k
+
+    @staticmethod
+    def slot(code: np.ndarray, k: int) -> np.ndarray:
+        return code if K.BASE**k <= SLOTS else (K.mix(code, 3) % np.uint64(SLOTS)).astype(np.int64)
+
+    @staticmethod
+    def level(count: float) -> int:
+        return min(255, round(8 * float(np.log2(1 + count))))
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        return self.levels[self.slot(code, self.k)]
+
+
+def kmer_frequencies(texts: DataFrame, k: int) -> Frequencies:
+    """Counted over all of ``texts(seq)``. Each task adds its counts up and sends them in
+    RANGES parts, the driver gets a byte per slot (at most SLOTS), whatever the texts."""
+    slots = min(K.BASE**k, SLOTS)
+    width = -(-slots // RANGES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RANGES * width, np.uint32)
+        seen = False
+        for batch in batches:
+            for some in small([batch], 2000):
+                code = K.windows(*K.residues(some.column("seq")), k)[2]
+                seen = seen or len(code) > 0
+                total += np.bincount(Frequencies.slot(code, k), minlength=len(total)).astype(np.uint32)
+        if seen:
+            cut = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(RANGES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(cut, pa.binary())], names=["part", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for batch in batches:
+            for blob in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
+        level = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])],
+            names=["part", "levels", "n", "kinds"])
+
+    counted = texts.select("seq").mapInArrow(count, "part int, counts binary")
+    rows = counted.groupBy("part").applyInArrow(add, "part int, levels binary, n long, kinds long").collect()
+    levels = np.zeros(RANGES * width, np.uint8)
+    for r in rows:
+        levels[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
+    mean = sum(r["n"] for r in rows) / max(1, sum(r["kinds"] for r in rows))
+    return Frequencies(levels, Frequencies.level(max(HOT_LEAST, HOT_TIMES * mean)), k)
+
+
+def keys_of(batch: pa.RecordBatch, k: int, t: Fraction, frequencies: Frequencies) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(row, sig)`` of the texts of a batch, as in the module's description."""
+
+    def of_band(row, h, hot, place, size, fewest, q, salt, dropped):
+        # first a - T + q of each set in the global order, T the least it can share
+        keep = place < size[row] - fewest[row] + q
+        if dropped:
             keep &= ~hot
         row, h = row[keep], h[keep]
-        mark = K.mix(h, 2 * band + salt)
+        mark = K.mix(h, salt)
         if q == 1:  # T = 1: any shared k-mer
             return row, mark
         part = (mark % np.uint64(q - 1)).astype(np.int64)
-        order = np.lexsort((part, row))
-        row, part, h = row[order], part[order], h[order]
-        group = row * (q - 1) + part
+        order = np.argsort(row * (q - 1) + part, kind="stable")
+        row, h = row[order], h[order]
+        group = row * (q - 1) + part[order]
         out_row, out_sig = [], []
         gap = 1
         with np.errstate(over="ignore"):
-            while True:  # all pairs within a part: neighbours, then at distance 2, ...
-                same = group[gap:] == group[:-gap] if gap < len(group) else np.zeros(0, bool)
-                if not same.any():
+            while gap < len(group):  # all pairs within a part: neighbours, then at distance 2, ...
+                i = np.flatnonzero(group[gap:] == group[:-gap])
+                if not len(i):
                     break
-                i = np.flatnonzero(same)
                 out_row.append(row[i])
-                out_sig.append(K.mix((h[i] ^ h[i + gap]) + np.uint64(2 * band + salt)))
+                out_sig.append(K.mix((h[i] ^ h[i + gap]) + np.uint64(salt)))
                 gap += 1
         if not out_row:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(out_row), np.concatenate(out_sig)
 
+    row, code, size = _sets(batch.column("seq"), k)
+    level = frequencies.of(code)
+    h = K.mix(code, 7)
+    order = np.lexsort(((h >> np.uint64(8)) | (level.astype(np.uint64) << np.uint64(56)), row))
+    row, h, hot = row[order], h[order], (level >= frequencies.hot)[order]
+    place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    hot_count = np.bincount(row, weights=hot, minlength=len(size))
+    alone = least_shared(size, -((-size * t.numerator) // t.denominator), t)  # with its smallest partner
+    for band in bands(size):
+        q = max(2, band * 5 // 8 + 1) if band > 1 else 1
+        least = np.maximum(band, alone)
+        rounds = [(band, 2 * band, q, 2 * band, in_band(size, band, 2 * band, t), True)]
+        heavy = hot_count > least - q
+        if heavy.any():
+            rounds += [(low, high, min(q, max(2, low // 8)), 2 * low + 1, heavy & in_band(size, low, high, t), False) for low, high in thirds(band)]
+        for low, high, need, salt, sets, dropped in rounds:
+            if not sets.any():
+                continue
+            some = sets[row]
+            r, sig = of_band(row[some], h[some], hot[some], place[some], size, np.maximum(low, alone), need, salt, dropped)
+            large = least_shared(size, size, t) >= high
+            yield r, (sig & ~np.uint64(1)) | large[r].astype(np.uint64)
+
+
+def join_keys(k: int, t: Fraction, shared, parts: int):
+    """``(part, block)``: the keys of all texts, packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 500):
-            row, code, size = _sets(batch.column("seq"), k)
-            ids = np.asarray(batch.column("id"))
-            h = K.mix(code, 7)
-            last = np.isin(code, frequent).astype(np.uint64) if len(frequent) else np.zeros(len(code), np.uint64)
-            rank_key = (h >> np.uint64(1)) | (last * LAST)
-            hot_count = np.bincount(row, weights=last, minlength=len(size))
-            for band in bands(size):
-                q = band // 2 + 1 if band > 1 else 1
-                rounds = [(band, 2 * band, q, 0, in_band(size, band, 2 * band, t))]
-                heavy = hot_count > band - q
-                if heavy.any():
-                    rounds += [(low, high, min(q, max(2, low // 8)), 1, heavy & in_band(size, low, high, t)) for low, high in thirds(band)]
-                for least, most, need, salt, sets in rounds:
-                    if not sets.any():
-                        continue
-                    some = sets[row]
-                    r, sig = of_band(row[some], h[some], rank_key[some], size, least, need, salt)
-                    large = least_shared(size, size, t) >= most
-                    sig = (sig & ~np.uint64(1)) | large[r].astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(ids[r])], names=["sig", "id"])
+        def out() -> pa.RecordBatch:
+            sig = np.concatenate(sigs)
+            key = sig >> np.uint64(1)
+            return pack(np.concatenate(ids), np.concatenate(rows), key % np.uint64(parts), key // np.uint64(parts), sig & np.uint64(1))
+
+        ids, rows, sigs, texts, n = [], [], [], 0, 0
+        for batch in batches:
+            for some in small([batch], 500):
+                for r, sig in keys_of(some, k, t, shared.value):
+                    rows.append(r + texts)
+                    sigs.append(sig)
+                    n += len(r)
+                ids.append(np.asarray(some.column("id")))
+                texts += some.num_rows
+                if n >= BLOCK_KEYS:
+                    yield out()
+                    ids, rows, sigs, texts, n = [], [], [], 0, 0
+        if n:
+            yield out()
 
     return run
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by ``sig``: those whose key (``sig`` without its lowest bit)
-    occurs more than once, at least once with the bit clear; such a row comes first.
-    Holds one row of the run that a batch ends in, however long the run is."""
-    held_sig = held_id = None
-    held_out = held_met = False  # the held row has gone out; its run began with a clear bit
-    for batch in batches:
-        sig, ids = np.asarray(batch.column("sig")), np.asarray(batch.column("id"))
-        if not len(sig):
-            continue
-        if held_sig is not None:
-            sig, ids = np.r_[held_sig, sig], np.r_[held_id, ids]
-        equal = (sig[1:] >> 1) == (sig[:-1] >> 1)
-        first = np.flatnonzero(np.r_[True, ~equal])
-        clear = (sig[first] & 1) == 0
-        if held_sig is not None:
-            clear[0] = held_met
-        met = np.repeat(clear, np.diff(np.r_[first, len(sig)]))
-        keep = (np.r_[False, equal] | np.r_[equal, False]) & met
-        last = bool(keep[-1])
-        if held_out:
-            keep[0] = False
-        # the last row waits, unless its run is known to be long already
-        held_sig, held_id, held_out, held_met = sig[-1:], ids[-1:], last, bool(met[-1])
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(ids[keep])], names=["sig", "id"])
-
-
 def exact_jaccard(k: int, t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 1000):
@@ -223,16 +279,6 @@ def exact_jaccard(k: int, t: Fraction):
     return run
 
 
-def frequent_kmers(reps: DataFrame, k: int) -> np.ndarray:
-    """K-mers of at least a FREQUENT share of a sample of SAMPLE_ROWS texts."""
-    some = pa.array([r["seq"] for r in reps.select("seq").limit(SAMPLE_ROWS).collect()], pa.string())
-    if not len(some):
-        return np.zeros(0, np.int64)
-    _, code, _ = _sets(some, k)
-    value, times = np.unique(code, return_counts=True)
-    return value[times >= max(8, FREQUENT * len(some))]
-
-
 class NearDuplicates:
     """Classes of texts with equal k-mer sets, and pairs of similar classes.
 
@@ -255,24 +301,25 @@ class NearDuplicates:
         self.members = scratch.write(described.select("id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select("id", "cls"), "members")
         reps = scratch.write(described.join(self.members.where("id = cls").select("id"), "id", "left_semi").drop("fp1", "fp2"), "reps")
 
-        n_keys = (reps.agg(F.sum("size")).first()[0] or 0) * 3
-        parts = max(reps.sparkSession.sparkContext.defaultParallelism, -(-n_keys // KEYS_PER_PARTITION))
-        keys = reps.select("id", "seq").repartition(parts).mapInArrow(join_keys(k, t, frequent_kmers(reps, k)), "sig long, id long")
-        again = keys.repartition(parts, F.shiftright("sig", 1)).sortWithinPartitions("sig").mapInArrow(repeated, "sig long, id long")
-        again = scratch.write(again, "again")
+        spark = reps.sparkSession
+        n_keys = (reps.agg(F.sum("size")).first()[0] or 0) * 2
+        parts = max(spark.sparkContext.defaultParallelism, -(-n_keys // KEYS_PER_PARTITION))
+        shared = spark.sparkContext.broadcast(kmer_frequencies(reps, k))  # at most SLOTS bytes
+        keys = reps.select("id", "seq").repartition(parts).mapInArrow(join_keys(k, t, shared, parts), "part int, block binary")
+        met = scratch.write(keys.repartitionById(parts, "part").mapInArrow(meet(PAIRED), MET), "met")
 
         slim = reps.select("id", "size", *[f"w{i}" for i in range(SKETCH_WORDS)])
-        lit = again.select(F.shiftright("sig", 1).alias("key"), (F.col("sig") % 2 != 0).alias("large"), "id").join(slim, "id").repartition(parts, "key")
-        side = lambda s: lit.select("key", F.col("large").alias(f"large_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in slim.columns])
+        side = lambda s: slim.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in slim.columns[1:]])
         apart = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH_WORDS)), F.lit(0))
         num, den = t.numerator, t.numerator + t.denominator
         both = F.col("size_a") + F.col("size_b")
-        shared = -F.floor(-both * F.lit(num) / F.lit(den))
-        near = (
-            side("a").where("not large_a").join(side("b"), "key")
-            .where((F.col("large_b") | (F.col("id_a") < F.col("id_b"))) & (F.col("id_a") != F.col("id_b")) & (apart <= both - 2 * shared))
-            .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-        )
+        most = both + 2 * F.floor(-both * F.lit(num) / F.lit(den))
+        pairs = met.where("large is null").select("a", "b").distinct()
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
+        hot = hot_rows(met)
+        if not hot.isEmpty():
+            limit = lambda a, b: a + b - 2 * least_shared(a, b, t)
+            near = near.unionByName(met_in_blocks(hot, slim, limit, BLOCK_SETS, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
         seq = lambda s: reps.select(F.col("id").alias(s), F.col("seq").alias(f"seq_{s}"))
         found = near.join(seq("a"), "a").join(seq("b"), "b").select("a", "b", "seq_a", "seq_b")
         self.pairs = scratch.write(found.mapInArrow(exact_jaccard(k, t), "a long, b long, similarity double"), "pairs")

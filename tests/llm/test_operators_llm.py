@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinfold.functions.sequences import RESIDUES
-from kinfold.llm import chunking, leakage, near_duplicates, packing, tokens
+from kinfold.llm import chunking, leakage, near_duplicates, overlap, packed_join, packing, tokens
 from kinfold.llm.components import GroupedSplits, grouped_splits, hash_to_min
 from kinfold.llm.near_duplicates import NearDuplicates
 from kinfold.llm.overlap import SplitOverlap, current_split
@@ -168,10 +168,15 @@ def test_no_pair_is_lost_behind_a_shared_domain(spark, monkeypatch):
         out += [base, mutated(rnd, base, 3), own + domains[i % 3][:40]] if i % 4 == 0 else [base]
     rows = list(enumerate(out))
     sets = {i: grams(s) for i, s in rows}
-    for frequent in (0.005, 0.05, 2.0):  # the last: nothing is frequent
-        monkeypatch.setattr(near_duplicates, "FREQUENT", frequent)
+    # the last: nothing is frequent; keys that more than 3 have are cut into blocks of about 5
+    monkeypatch.setattr(near_duplicates, "PAIRED", 3)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SETS", 5)
+    for times, least in ((0.5, 1), (2, 8), (8, 10**6)):
+        monkeypatch.setattr(near_duplicates, "HOT_TIMES", times)
+        monkeypatch.setattr(near_duplicates, "HOT_LEAST", least)
         reps = spark.createDataFrame(rows, "id long, seq string")
-        assert (len(near_duplicates.frequent_kmers(reps, 5)) > 0) == (frequent < 1)
+        known = near_duplicates.kmer_frequencies(reps, 5)
+        assert (known.levels >= known.hot).any() == (least < 10**6)
         for t in (Fraction(1, 2), Fraction(4, 5)):
             want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * t.denominator >= len(sets[a] | sets[b]) * t.numerator}
             assert {(r["id_a"], r["id_b"]) for r in NearDuplicates(reps, scratch(spark), 5, t).all_pairs().collect()} == want
@@ -193,20 +198,53 @@ def test_a_group_of_copies_is_one_text(spark):
     assert {r["id"]: r["n_links"] for r in near.groups(scratch(spark)).collect()}[7] == 500
 
 
+def test_frequencies_are_counts(spark):
+    rnd = random.Random(6)
+    seqs = ["".join(rnd.choice("ACD") for _ in range(rnd.randint(0, 60))) for _ in range(50)]
+    known = near_duplicates.kmer_frequencies(spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(3), 5)
+    count = {}
+    for s in seqs:
+        for i in range(len(s) - 4):
+            count[s[i : i + 5]] = count.get(s[i : i + 5], 0) + 1
+    row, code, _ = near_duplicates._sets(pa.array(list(count)), 5)
+    assert [near_duplicates.Frequencies.level(n) for n in count.values()] == known.of(code[np.argsort(row)]).tolist()
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 6), max_size=6), max_size=5))
-def test_repeated_over_any_batches(batches):
-    flat = sorted(x for b in batches for x in b)
-    cut, out = [], []
-    for b in batches:
-        cut.append(flat[len([x for c in cut for x in c]) :][: len(b)])
-    ids = iter(range(len(flat)))
-    parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array([next(ids) for _ in c], pa.int64())], names=["sig", "id"]) for c in cut]
-    for b in near_duplicates.repeated(iter(parts)):
-        out += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-    keys = [x >> 1 for x in flat]
-    want = [(x, i) for i, x in enumerate(flat) if keys.count(x >> 1) > 1 and (x >> 1) * 2 in flat]
-    assert sorted(out) == want
+@given(st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 12)), max_size=30), min_size=1, max_size=3), st.integers(1, 4), st.integers(1, 5), st.booleans())
+def test_keys_meet_over_any_blocks(blocks, parts, paired, sides):
+    """Packed, unpacked and sorted: keys that several texts have, one at least not large."""
+    cut, flat = {}, []
+    for b in blocks:
+        if not b:
+            continue
+        rows = np.array(sorted(x for x, _ in b))
+        sigs = np.array([s for _, s in sorted(b)], np.uint64)
+        key = sigs >> np.uint64(1)
+        batch = packed_join.pack(np.arange(100, 131), rows, key % np.uint64(parts), key // np.uint64(parts), sigs & np.uint64(1))
+        for p, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            cut.setdefault(p, []).append(block)
+        flat += [(int(s), 100 + int(r)) for r, s in zip(rows, sigs, strict=True)]
+    got, heavy = set(), set()
+    for p, found in cut.items():
+        batch = pa.RecordBatch.from_arrays([pa.array([p] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["part", "block"])
+        for out in packed_join.meet(paired, sides)(iter([batch])):
+            for r in out.to_pylist():
+                (got if r["large"] is None else heavy).add((r["a"], r["b"]) if r["large"] is None else r["a"])
+    want, many = set(), set()
+    for key in {s >> 1 for s, _ in flat}:
+        mine = [(s & 1, i) for s, i in flat if s >> 1 == key]
+        if all(large for large, _ in mine) or len(mine) < 2 or (sides and not any(large for large, _ in mine)):
+            continue
+        if len(mine) > paired:
+            many |= {i for _, i in mine}
+        else:
+            if sides:
+                odd = (key % parts) % 2
+                want |= {(j, i) if odd else (i, j) for x, i in mine for y, j in mine if i != j and not x and y}
+            else:
+                want |= {(min(i, j), max(i, j)) for x, i in mine for y, j in mine if i != j and not (x and y)}
+    assert got == want and heavy == many
 
 
 @pytest.mark.parametrize("c", [Fraction(4, 5), Fraction(1, 2)])
