@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import kmers as K
-from kinfold.llm.packed_join import MET, hot_rows, meet, met_in_blocks, pack
+from kinfold.llm.packed_join import MET, hot_rows, meet, met_in_blocks, pack, sorted_order
 from kinfold.session import Scratch
 
 SKETCH_WORDS = 8
@@ -186,26 +186,28 @@ def kmer_frequencies(texts: DataFrame, k: int) -> Frequencies:
 
 
 def keys_of(batch: pa.RecordBatch, k: int, t: Fraction, frequencies: Frequencies) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(row, sig)`` of the texts of a batch, as in the module's description."""
+    """``(row, sig)`` of the texts of a batch (at most 2048), as in the module's
+    description."""
 
     def of_band(row, h, hot, place, size, fewest, q, salt, dropped):
         # first a - T + q of each set in the global order, T the least it can share
-        keep = place < size[row] - fewest[row] + q
+        keep = place < (size - fewest + q)[row]
         if dropped:
             keep &= ~hot
         row, h = row[keep], h[keep]
         mark = K.mix(h, salt)
         if q == 1:  # T = 1: any shared k-mer
             return row, mark
-        part = (mark % np.uint64(q - 1)).astype(np.int64)
-        order = np.argsort(row * (q - 1) + part, kind="stable")
-        row, h = row[order], h[order]
-        group = row * (q - 1) + part[order]
+        group = row * (q - 1) + (mark % np.uint64(q - 1)).astype(np.int64)
+        order = sorted_order(group, len(size) * (q - 1))
+        row, h, group = row[order], h[order], group[order]
+        # all pairs within a part: neighbours, then at distance 2, ...
         out_row, out_sig = [], []
-        gap = 1
+        i, gap = np.arange(len(group)), 1
         with np.errstate(over="ignore"):
-            while gap < len(group):  # all pairs within a part: neighbours, then at distance 2, ...
-                i = np.flatnonzero(group[gap:] == group[:-gap])
+            while True:
+                i = i[: np.searchsorted(i, len(group) - gap)]
+                i = i[group[i + gap] == group[i]]
                 if not len(i):
                     break
                 out_row.append(row[i])
@@ -215,11 +217,13 @@ def keys_of(batch: pa.RecordBatch, k: int, t: Fraction, frequencies: Frequencies
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(out_row), np.concatenate(out_sig)
 
+    # a k-mer is 8 bits of frequency and 45 of a hash; with its text in front, one sort
+    # gives every set in the global order
     row, code, size = _sets(batch.column("seq"), k)
-    level = frequencies.of(code)
-    h = K.mix(code, 7)
-    order = np.lexsort(((h >> np.uint64(8)) | (level.astype(np.uint64) << np.uint64(56)), row))
-    row, h, hot = row[order], h[order], (level >= frequencies.hot)[order]
+    ordered = (frequencies.of(code).astype(np.uint64) << np.uint64(45)) | (K.mix(code, 7) >> np.uint64(19))
+    ordered = np.sort((row.astype(np.uint64) << np.uint64(53)) | ordered)  # ``row`` is sorted and stays
+    h = ordered & np.uint64((1 << 53) - 1)
+    hot = h >= np.uint64(frequencies.hot << 45)
     place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
     hot_count = np.bincount(row, weights=hot, minlength=len(size))
     alone = least_shared(size, -((-size * t.numerator) // t.denominator), t)  # with its smallest partner

@@ -27,11 +27,23 @@ BLOCKS, MET = "part int, block binary", "a long, b long, large boolean"
 _MASK, _LOW, _ONE, _FAR = np.uint64((1 << KEY_BITS) - 1), np.uint64(0xFFFFFFFF), np.uint64(1), np.uint64(32)
 
 
+def sorted_order(values: np.ndarray, bound: int) -> np.ndarray:
+    """The order that sorts non-negative integers below ``bound``, of equal ones the
+    first first. Sorting values with their places behind them is several times faster
+    than finding places alone."""
+    bits = max(1, len(values) - 1).bit_length()
+    if int(bound).bit_length() + bits > 64:
+        return np.argsort(values, kind="stable")
+    both = (values.astype(np.uint64) << np.uint64(bits)) | np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def pack(ids: np.ndarray, row: np.ndarray, part: np.ndarray, key: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
     """A block of keys for each partition: its texts' ids, how many keys each has, and
     40 bits of each key and mark. ``row``: a key's text as a place in ``ids``."""
     part = part.astype(np.int64)
-    order = np.argsort(part * len(ids) + row)
+    order = sorted_order(part * len(ids) + row, (int(part.max(initial=0)) + 1) * len(ids))
     part, row = part[order], row[order]
     word = (((key[order] & _MASK) << _ONE) | mark[order]).astype(np.uint64)
     names, blobs = [], []
@@ -63,24 +75,26 @@ def meet(paired: int, sides: bool = False):
     is ``b`` in partitions of even and ``a`` in those of odd number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, ids, words = [], [], []
+        blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # a partition may have several numbers
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
-                i, w = unpack(blob.as_py())
-                parts.append(np.full(len(i), part, np.int64))
-                ids.append(i)
-                words.append(w)
-        if not ids:
+                blocks.setdefault(part, []).append(unpack(blob.as_py()))
+        for part in sorted(blocks):
+            found = blocks.pop(part)
+            yield from joined(part, np.concatenate([i for i, _ in found]), np.concatenate([w for _, w in found]))
+
+    def joined(part: int, ids: np.ndarray, word: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = sorted_order(word, 1 << (KEY_BITS + 1))
+        word = word[order]
+        key = word >> _ONE
+        same = key[1:] == key[:-1]
+        kept = np.flatnonzero(np.r_[same, False] | np.r_[False, same])  # most keys occur once
+        ids, key, mark = ids[order[kept]], key[kept], (word[kept] & _ONE) == 1
+        if not len(key):
             return
-        ids, word, part = np.concatenate(ids), np.concatenate(words), np.concatenate(parts)
-        order = np.argsort(word, kind="stable")
-        if (part != part[0]).any():  # a partition may have several numbers
-            order = order[np.argsort(part[order], kind="stable")]
-        ids, word, part = ids[order], word[order], part[order]
-        key, mark = word >> _ONE, (word & _ONE) == 1
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[first, len(key)])
-        met = (n > 1) & ~mark[first]  # some are not marked
+        met = ~mark[first]  # some are not marked
         if sides:
             met &= mark[first + n - 1]
         for heavy in (False, True):
@@ -89,21 +103,22 @@ def meet(paired: int, sides: bool = False):
             take = np.repeat(first[runs] - (np.cumsum(m) - m), m) + np.arange(m.sum())
             some, marked, of = ids[take], mark[take], np.repeat(np.arange(len(runs)), m)
             if heavy:
-                name = (part[take] << KEY_BITS) | key[take].astype(np.int64)
+                name = (part << KEY_BITS) | key[take].astype(np.int64)
                 for at in range(0, len(some), SENT):
                     cut = slice(at, at + SENT)
                     yield pa.RecordBatch.from_arrays([pa.array(some[cut]), pa.array(name[cut]), pa.array(marked[cut])], names=["a", "b", "large"])
                 continue
             kinds, some = np.unique(some, return_inverse=True)
-            odd = part[take] % 2 == 1
             pairs, held, gap, most = [], 0, 1, m.max(initial=0)
-            while gap < len(of):
-                i = np.flatnonzero(of[gap:] == of[:-gap])
+            run_on = np.arange(len(of))
+            while gap < most:
+                run_on = run_on[: np.searchsorted(run_on, len(of) - gap)]
+                i = run_on = run_on[of[run_on + gap] == of[run_on]]
                 j = i + gap
                 ok = (some[i] != some[j]) & ((marked[i] ^ marked[j]) if sides else ~(marked[i] & marked[j]))
                 i, j = i[ok], j[ok]
                 if sides:  # marks are sorted: of the two, j has it
-                    a, b = np.where(odd[i], some[j], some[i]), np.where(odd[i], some[i], some[j])
+                    a, b = (some[j], some[i]) if part % 2 else (some[i], some[j])
                 else:
                     a, b = np.minimum(some[i], some[j]), np.maximum(some[i], some[j])
                 pairs.append(a * len(kinds) + b)
@@ -115,8 +130,6 @@ def meet(paired: int, sides: bool = False):
                         b = both[at : at + SENT]
                         yield pa.RecordBatch.from_arrays([pa.array(kinds[b // len(kinds)]), pa.array(kinds[b % len(kinds)]), pa.nulls(len(b), pa.bool_())], names=["a", "b", "large"])
                     pairs, held = [], 0
-                    if gap >= most:
-                        break
 
     return run
 
