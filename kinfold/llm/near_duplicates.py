@@ -59,7 +59,7 @@ HOT_LEAST, HOT_TIMES = 64, 8
 #: Counters of k-mers; more k-mers than that share them.
 SLOTS, RANGES = 1 << 22, 16
 #: Join keys per partition, and keys of one block of texts.
-KEYS_PER_PARTITION, BLOCK_KEYS = 1_000_000, 2_000_000
+KEYS_PER_PARTITION, BLOCK_KEYS = 1_000_000, 1_000_000
 #: Sets of one key that are paired where they meet; more are cut into blocks.
 PAIRED, BLOCK_SETS = 200, 2048
 

@@ -97,29 +97,32 @@ def _loose_runs(code: np.ndarray, need: int) -> tuple[int, np.ndarray]:
     raise AssertionError("single k-mers always suffice")
 
 
-def larger_side(batch: pa.RecordBatch, k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(row, gram)``: every walk of m k-mers, each overlapping the next by k - 1
-    letters, within a text's set. A text of few letters has more walks than k-mers, so
-    they are made and given out in parts."""
+def larger_side(batch: pa.RecordBatch, k: int, lengths: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(m, row, gram)``: every walk of m k-mers, m in ``lengths``, each overlapping the
+    next by k - 1 letters, within a text's set. A text of few letters has more walks than
+    k-mers, so they are made and given out in parts."""
     span = K.BASE ** (k - 1)
     row, _, code = K.windows(*K.residues(batch.column("seq")), k)
-    row, code = K.distinct_sets(row, code, k)
-    key = row * K.BASE**k + code
-    low = np.searchsorted(key, row * K.BASE**k + (code % span) * K.BASE)
-    ways = np.searchsorted(key, row * K.BASE**k + (code % span + 1) * K.BASE) - low
-
-    def walk(end: np.ndarray, gram: np.ndarray, start: np.ndarray, left: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not left:
-            yield start, gram
+    key = K.unique(row * K.BASE**k + code)
+    row, code = key // K.BASE**k, key % K.BASE**k
+    follow = key - code + (code % span) * K.BASE
+    low = np.searchsorted(key, follow)
+    ways = np.searchsorted(key, follow + K.BASE) - low
+    most = max(lengths, default=0)
+
+    def walk(end: np.ndarray, gram: np.ndarray, start: np.ndarray, m: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if m in lengths:
+            yield m, start, gram
+        if m >= most:
             return
-        n = ways[end]
-        cut = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), WALKS), "right")
+        n = np.cumsum(ways[end])
+        cut = np.searchsorted(n, np.arange(0, n[-1] if len(n) else 0, WALKS), "right")
         for a, b in zip(cut, np.r_[cut[1:], len(n)], strict=True):
-            some = n[a:b]
+            some = ways[end[a:b]]
             nxt = np.repeat(low[end[a:b]] - (np.cumsum(some) - some), some) + np.arange(some.sum())
-            yield from walk(nxt, np.repeat(gram[a:b], some) * K.BASE + code[nxt] % K.BASE, np.repeat(start[a:b], some), left - 1)
+            yield from walk(nxt, np.repeat(gram[a:b], some) * K.BASE + code[nxt] % K.BASE, np.repeat(start[a:b], some), m + 1)
 
-    yield from walk(np.arange(len(key)), code, row, m - 1)
+    yield from walk(np.arange(len(key)), code, row, 1)
 
 
 def _hash(gram: np.ndarray, m, way: int) -> np.ndarray:
@@ -212,14 +215,13 @@ def packed_grams(k: int, c: Fraction, shared, table, parts: int):
                 for way in (0, 1):
                     mine = inside[way][r]
                     take(r[mine], _hash(gram[mine], m[mine], way), 0, way)
-                for m in sorted(grams.lengths[0] | grams.lengths[1]):
-                    for r, gram in larger_side(batch, k, m):
-                        for way in (0, 1):
-                            if m in grams.lengths[way]:
-                                mine = inside[1 - way][r]
-                                h = _hash(gram[mine], m, way)
-                                met = grams.has(h)
-                                take(r[mine][met], h[met], 1, way)
+                for m, r, gram in larger_side(batch, k, grams.lengths[0] | grams.lengths[1]):
+                    for way in (0, 1):
+                        if m in grams.lengths[way]:
+                            mine = inside[1 - way][r]
+                            h = _hash(gram[mine], m, way)
+                            met = grams.has(h)
+                            take(r[mine][met], h[met], 1, way)
                 ids.append(np.asarray(batch.column("id")))
                 texts += batch.num_rows
                 if n >= BLOCK_KEYS:

@@ -266,6 +266,38 @@ def test_overlap_loses_no_pair(spark, c):
         assert (per[split]["n_pairs"], per[split]["n_eval"], per[split]["n_contained"]) == (sum(e in ids for e, _ in want), len(ids), len({e for e, _ in want if e in ids}))
 
 
+def test_walks_are_those_of_the_set(monkeypatch):
+    """Also where a text of few letters has so many that they come in parts."""
+    monkeypatch.setattr(overlap, "WALKS", 7)
+    rnd = random.Random(12)
+    seqs = ["".join(rnd.choice("AC") for _ in range(90)), "".join(rnd.choice(RESIDUES) for _ in range(60)), "ACD"]
+    got = {1: set(), 3: set()}
+    for m, row, gram in overlap.larger_side(pa.RecordBatch.from_arrays([pa.array(seqs)], names=["seq"]), 5, {1, 3}):
+        got[m] |= set(zip(row.tolist(), gram.tolist(), strict=True))
+    number = lambda s: sum(RESIDUES.index(c) * 20 ** (len(s) - 1 - i) for i, c in enumerate(s))
+    want = {1: set(), 3: set()}
+    for r, s in enumerate(seqs):
+        have = grams(s)
+        want[1] |= {(r, number(g)) for g in have}
+        want[3] |= {(r, number(g + x + y)) for g in have for x in RESIDUES for y in RESIDUES if (g + x)[1:] in have and (g + x + y)[2:] in have}
+    assert got == want
+
+
+def test_overlap_with_hot_grams_and_a_full_table(spark, monkeypatch):
+    """N-grams of more than 3 texts are joined in blocks of about 4. A full table lets
+    every n-gram of the larger sides pass."""
+    monkeypatch.setattr(overlap, "PAIRED", 3)
+    monkeypatch.setattr(overlap, "BLOCK_SETS", 4)
+    rnd = random.Random(13)
+    base = "".join(rnd.choice(RESIDUES) for _ in range(80))
+    rows = [(i, mutated(rnd, base, i % 4), "train" if i % 3 else "test") for i in range(45)]
+    found = {tuple(r) for r in SplitOverlap(spark.createDataFrame(rows, "id long, seq string, split string"), scratch(spark)).pairs.select("eval_id", "train_id").collect()}
+    close = lambda s, u: len(grams(s) & grams(u)) * 5 >= min(len(grams(s)), len(grams(u))) * 4
+    assert found == {(e, t) for e, s, x in rows for t, u, y in rows if x == "test" and y == "train" and close(s, u)}
+    full = overlap.GramTable(np.full((1 << overlap.TABLE_BITS) // 8, 255, np.uint8), {0: {4}, 1: {4}})
+    assert full.has(np.arange(1000, dtype=np.uint64) << np.uint64(50)).all()
+
+
 def test_overlap_of_nothing(spark):
     df = spark.createDataFrame([(1, "A" * 30, "train")], "id long, seq string, split string")
     for x in (df, df.where("false"), df.withColumn("split", F.lit(None).cast("string"))):
