@@ -3,6 +3,8 @@ faster block forms in :mod:`kinfold.operators.search`. All sums are doubles."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def mean_pool_inner(tokens: Column, dim: int) -> Column:
     return l2_normalize(mean_pool(inner, dim))
 
 
+def project(a: Column, weights: Sequence[Sequence[float]]) -> Column:
+    """The vector times a matrix (a row per output)."""
+    return F.array(*[dot(a, F.array(*[F.lit(float(w)) for w in row])) for row in weights])
+
+
 def maxsim(query: Column, doc: Column) -> Column:
     """Sum over query tokens of the greatest dot product with a document token. Not
     symmetric, not divided by length; null for a document without tokens."""

@@ -18,8 +18,12 @@ from kinfold.operators.skew import eager_join_aggregate, middle_rows
 from kinfold.plans.experiment import experiment
 from kinfold.session import Scratch, table
 from kinfold.sources.fasta import read_fasta, write_fasta
+from kinfold.sources.m8 import read_hits
+from kinfold.sources.stockholm import read_clans, read_stockholm
 
 EVERY = 50
+#: Queries that are timed by each method.
+TIMED = 100
 KS_SQL = "(values (1), (5), (10), (100)) k(k)"
 
 
@@ -90,11 +94,9 @@ def _shown(ranked: DataFrame) -> DataFrame:
 
 
 def maxsim_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every score of the queries, by column expressions."""
+    """Every score of the queries."""
     t = _tokens(spark, d)
-    q = _queries(t).select(F.col("id").alias("qid"), F.col("vec").alias("q"))
-    pairs = t.select(F.col("id").alias("did"), "vec").join(q, F.col("qid") != F.col("did"))
-    return pairs.select("qid", "did", F.round(V.maxsim(F.col("q"), F.col("vec")), 6).alias("score"))
+    return search.all_scores(_queries(t), t, search.maxsim_block).withColumn("score", F.round("score", 6))
 
 
 def topk_single_query(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +133,16 @@ def meanpool_no_special(spark: SparkSession, d: str) -> DataFrame:
     return pooled.select("id", F.round(V.total(F.col("v")), 6).alias("total"), F.round(V.l2_norm(F.col("v")), 6).alias("norm"))
 
 
+#: Stands for trained weights of a projection from 16 to 8 dimensions.
+WEIGHTS = [[((7 * i + 3 * j) % 13 - 6) / 13 for j in range(16)] for i in range(8)]
+
+
+def meanpool_projected(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of the tokens, projected to 8 dimensions."""
+    pooled = _tokens(spark, d).select("id", V.project(V.mean_pool(F.col("vec"), 16), WEIGHTS).alias("v"))
+    return pooled.select("id", F.round(V.total(F.col("v")), 6).alias("total"), F.round(V.l2_norm(F.col("v")), 6).alias("norm"))
+
+
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d).select("id", F.transform("vec", lambda x: x * F.lit(3.0)).alias("v"))
     unit = V.l2_normalize(F.col("v"))
@@ -201,8 +213,8 @@ def recall_minhash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    grams = _texts(spark, d).select("id", kmers(F.col("seq"), 5).alias("grams"))
-    return minhash.exact_jaccard(_queries(grams), grams).select("qid", "did", F.round("jaccard", 6).alias("jaccard"))
+    texts = _texts(spark, d)
+    return minhash.exact_jaccard(_queries(texts), texts).select("qid", "did", F.round("jaccard", 6).alias("jaccard"))
 
 
 def kmer_index_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -360,9 +372,10 @@ def recall_encoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def experiment_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The whole evaluation with the stand-in encoder, on its full budget of test proteins."""
+    """The whole evaluation with the stand-in encoder, on its full budget of test proteins,
+    with the median time of a query by each method."""
     p = _texts(spark, d).select(F.col("id").alias("pid"), "seq", "label")
-    return experiment(p, HashEncoder(16), Scratch(spark, "experiment"), outside_hits=table(spark, d, "hits"))
+    return experiment(p, HashEncoder(16), Scratch(spark, "experiment"), outside_hits=table(spark, d, "hits"), timed=TIMED)
 
 
 # --- files --------------------------------------------------------------------
@@ -375,20 +388,51 @@ def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_fasta(spark, f"{scratch.root}/fasta").select(F.col("sid").cast("long").alias("pid"), F.col("sequence").alias("seq"))
 
 
+def stockholm_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Usable proteins with a family, written as gapped one-line alignment blocks with a
+    versioned accession and read again."""
+    scratch = Scratch(spark, "stockholm")
+    p = _usable(spark, d, "family").select("pid", F.regexp_replace("family", "[^!-~]", "").alias("family"), F.regexp_replace("seq", "(.{7})", "$1.-").alias("gapped"))
+    block = F.concat(F.lit("# STOCKHOLM 1.0\n#=GF ID   "), F.col("pid").cast("string"), F.lit(" name\n#=GF AC   "), "family", F.lit(".3\n"),
+                     F.col("pid").cast("string"), F.lit("/1-9    "), F.lower("gapped"), F.lit("\n//"))
+    p.where("family <> ''").select(block.alias("value")).write.text(f"{scratch.root}/blocks", compression="gzip")
+    rows = read_stockholm(spark, f"{scratch.root}/blocks").where("sid is not null")
+    return rows.select("family", "family_name", "sid", clean_sequence(F.col("gapped")).alias("seq"))
+
+
+def clan_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The family-to-clan table written as a compressed file and read again; lines without
+    a clan are no mapping."""
+    scratch = Scratch(spark, "clans")
+    cells = [F.coalesce(c, F.lit("")) for c in (F.col("family"), F.col("clan"), F.lit("x"), F.lit("y"), F.col("family_name"))]
+    table(spark, d, "clan_map").select(F.concat_ws("\t", *cells).alias("value")).write.text(f"{scratch.root}/lines", compression="gzip")
+    return read_clans(spark, f"{scratch.root}/lines").select("family", "clan", "family_name")
+
+
+def m8_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Hits written as tab-separated lines, short ones where a field is null, and read
+    again; short lines are skipped."""
+    scratch = Scratch(spark, "m8")
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("query", "target", "evalue")])
+    table(spark, d, "hits").select(line.alias("value")).write.text(f"{scratch.root}/hits")
+    return read_hits(spark, f"{scratch.root}/hits").select("query", "target", "evalue")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_hit_counts, p2_family_pairs, topk_dot, topk_cosine, topk_maxsim, maxsim_scores, topk_single_query, recall_dot,
-        recall_cosine, recall_maxsim, meanpool, meanpool_no_special, l2_normalize, clean_sequences, label_keys, kmer_counts,
+        recall_cosine, recall_maxsim, meanpool, meanpool_no_special, meanpool_projected, l2_normalize, clean_sequences, label_keys, kmer_counts,
         kmer_frequencies, token_counts, minhash_sig, minhash_topk, recall_minhash, exact_jaccard, kmer_index_hits, align_topk, group_sizes, group_profile,
         min_group_filter, group_split, stratified_subsample, stratified_subsample_3000, pair_sample, sample_queries, first_n_per_group, batch_stats, fk_join,
         infonce_loss, loss_ema, latency_median, hits_rank, hits_rank_all, recall_hits, recall_hits_dedup, summary_pivot,
         combined_summary, recall_encoded, experiment_summary, fasta_roundtrip,
+        stockholm_parse, clan_lines, m8_parse,
     )
 }
 
 _SF, _FAM, _CLEAN = superfamily_key_sql("superfamily"), family_key_sql("family"), clean_sequence_sql("sequence")
-USABLE = f"""once as (select pid, any_value(sequence) sequence, any_value(superfamily) superfamily, any_value(family) family from proteins where pid is not null group by pid),
+USABLE = f"""once as (select pid, arg_max(sequence, loaded_at) sequence, arg_max(superfamily, loaded_at) superfamily, arg_max(family, loaded_at) family from proteins where pid is not null group by pid),
   usable as (select pid, seq, length(seq) n, {_SF} superfamily, {_FAM} family from (select *, {_CLEAN} seq from once) where length(seq) between 20 and 512)"""
 LABELLED = f"{USABLE}, labelled as (select pid, n, superfamily as label from usable where superfamily is not null)"
 GRAMS = f"{USABLE}, grams as (select distinct pid, unnest([seq[i:i+4] for i in range(1, length(seq) - 3)]) g from usable)"
@@ -467,6 +511,9 @@ ORACLE = {
     "meanpool_no_special": f"""with {TOKENS}, n as (select vec_id, max(t) last from tokens group by 1), i as (select t.* from tokens t join n using (vec_id) where t.t > 0 and t.t < n.last),
   e as (select vec_id id, unnest(v) x, unnest(range(1, 17)) i from i), p as (select id, i, avg(x) x from e group by all), u as (select id, sum(x) s, sqrt(sum(x * x)) l from p group by id)
   select n.vec_id id, round(coalesce(s / l, 0), 6) total, case when s is null then 0.0::double else 1.0::double end norm from n left join u on u.id = n.vec_id""",
+    "meanpool_projected": f"""with {TOKENS}, e as (select vec_id id, unnest(v) x, unnest(range(0, 16)) i from tokens), p as (select id, i, avg(x) x from e group by all),
+  y as (select id, o, sum(x * ((7 * o + 3 * i) % 13 - 6) / 13.0::double) y from p, range(8) t(o) group by all)
+  select id, round(sum(y), 6) total, round(sqrt(sum(y * y)), 6) norm from y group by id""",
     "l2_normalize": "select vec_id id, round(sqrt(list_inner_product(v, v)), 6) norm, round(list_sum(v) / sqrt(list_inner_product(v, v)), 6) total from (select vec_id, [x * 3 for x in embedding::double[]] v from embeddings)",
     "clean_sequences": f"""select pid, md5(seq) seq_md5, length(seq)::int n, length(seq) between 20 and 512 usable, regexp_full_match(upper(regexp_replace(sequence, '\\s', '', 'g')), '[{RESIDUES}]+') strict
   from (select *, {_CLEAN} seq from proteins)""",
@@ -517,5 +564,9 @@ ORACLE = {
     "summary_pivot": f"select method, {_WIDE} from ({_methods()}) group by method",
     "combined_summary": f"""select w.*, coalesce(printf('%.2f', t.median_ms), 'n/a') median_ms from (select method, {_WIDE} from ({_methods()}) group by method) w
   left join (select 'dot' as method, median_ms from ({_TIMED}) where method = 'view') t using (method)""",
+    "stockholm_parse": f"""with {USABLE}, raw as (select pid, regexp_replace(arg_max(family, loaded_at), '[^!-~]', '', 'g') fam from proteins where pid is not null group by pid)
+  select split_part(fam, '.', 1) family, pid || ' name' family_name, pid || '/1-9' sid, seq from usable join raw using (pid) where fam <> ''""",
+    "clan_lines": "select family, clan, nullif(family_name, '') family_name from clan_map where family <> '' and clan <> ''",
+    "m8_parse": "select query, target, evalue from hits where query is not null and target is not null and evalue is not null",
     "fasta_roundtrip": f"with {USABLE} select pid, seq from usable",
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import glob
-import gzip
+import io
 import os
+from fnmatch import fnmatch
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,19 +21,32 @@ class _File(InputPartition):
         self.path = path
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Of a path with a scheme (file, hdfs, an object store) or of a local one."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def partitions(self):
-        names = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(n) for n in names if os.path.isfile(n) and not os.path.basename(n).startswith((".", "_"))]
+        where, path = _file_system(self.path)
+        scheme = self.path[: self.path.index("://") + 3] if "://" in self.path else ""
+        found = where.get_file_info(path)
+        if found.type == fs.FileType.File:
+            return [_File(self.path)]
+        folder, pattern = (path, "*") if found.type == fs.FileType.Directory else path.rsplit("/", 1)
+        inside = sorted(i.path for i in where.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File)
+        named = [p for p in inside if fnmatch(p.rsplit("/", 1)[-1], pattern) and not p.rsplit("/", 1)[-1].startswith((".", "_"))]
+        return [_File(scheme + p) for p in named]
 
     def read(self, partition: _File):
-        opener = gzip.open if partition.path.endswith(".gz") else open
+        where, path = _file_system(partition.path)
         acc = name = None
         pending: list[tuple[int, str | None, str | None]] = []
-        with opener(partition.path, "rt", encoding="latin-1") as lines:
+        with where.open_input_stream(path, compression="gzip" if path.endswith(".gz") else None) as raw:
+            lines = io.TextIOWrapper(raw, encoding="latin-1")
             for no, line in enumerate(lines, 1):
                 line = line.rstrip()
                 if line.startswith("# STOCKHOLM") or line == "//":
@@ -41,7 +55,8 @@ class _Reader(DataSourceReader):
                             yield partition.path, at, acc, name, sid, gapped
                     acc, name, pending = None, None, []
                 elif line.startswith("#=GF AC"):
-                    acc = line[len("#=GF AC") :].split()[0].partition(".")[0]
+                    named = line[len("#=GF AC") :].split()
+                    acc = named[0].partition(".")[0] if named else acc  # an empty line names nothing
                 elif line.startswith("#=GF ID"):
                     name = line[len("#=GF ID") :].strip()
                 elif line and line[0] != "#":
@@ -53,8 +68,8 @@ class _Reader(DataSourceReader):
 class StockholmSource(DataSource):
     """``spark.read.format("stockholm")``: a row per sequence line of a closed block,
     and one without ``sid`` for the line that closes it. Interleaved lines stay apart. A compressed file is one task, as it can't be
-    split; give many files, and repartition after reading. Paths must be visible to
-    the executors."""
+    split; give many files, and repartition after reading. It is read as a stream. Paths
+    may name any file system that Arrow knows by its scheme."""
 
     @classmethod
     def name(cls) -> str:

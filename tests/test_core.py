@@ -12,7 +12,7 @@ from kinfold.functions import vectors as V
 from kinfold.functions.labels import family_key, superfamily_key
 from kinfold.functions.sequences import RESIDUES, clean_sequence, is_strict, kmers, usable_proteins
 from kinfold.operators import evaluate, groups, hits, minhash, ordering, search
-from kinfold.operators.encode import HashEncoder, encode_pooled, encode_tokens, tokenize
+from kinfold.operators.encode import HashEncoder, ProjectedEncoder, encode_pooled, encode_tokens, read_weights, tokenize
 from kinfold.plans.experiment import experiment
 from kinfold.operators.skew import eager_join_aggregate, middle_rows
 from kinfold.session import Scratch
@@ -237,6 +237,62 @@ def test_experiment(spark):
     assert experiment(df.where("false"), HashEncoder(16), Scratch(spark, "x")).count() == 4
 
 
+def test_projections(spark, tmp_path):
+    df = spark.createDataFrame([(1, SEQ), (2, SEQ[:7] * 3), (4, "")], "id long, seq string")
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(3, 8))
+    spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(weights)], "row int, weights array<double>").write.parquet(str(tmp_path / "w"))
+    assert np.allclose(read_weights(spark, str(tmp_path / "w")), weights)
+    plain = {r["id"]: np.array(r["toks"]) for r in encode_tokens(df, HashEncoder(8)).collect()}
+    for r in encode_tokens(df, ProjectedEncoder(HashEncoder(8), weights)).collect():
+        want = plain[r["id"]] @ weights.T
+        assert np.allclose(r["toks"], want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-5)
+    given = spark.createDataFrame([(i, t.tolist()) for i, t in plain.items()], "id long, toks array<array<double>>")
+    want = {r["id"]: r["v"] for r in given.select("id", V.project(V.mean_pool(F.col("toks"), 8), weights).alias("v")).collect()}
+    got = {r["id"]: r["vec"] for r in encode_pooled(df, HashEncoder(8), weights=weights).collect()}
+    assert set(got) == {1, 2, 4} and all(np.allclose(got[i], want[i], atol=1e-6) for i in got)
+    with pytest.raises(ValueError):
+        ProjectedEncoder(HashEncoder(4), weights)
+
+
+def test_blocks_of_queries_one_after_another(spark, monkeypatch):
+    """More than one block: each is written before the next; all scores and the k best."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(30)]
+    df = spark.createDataFrame([*rows, (None, [0.0] * 4), (99, None)], "id long, vec array<double>")
+    asked = df.where("id < 11 or id is null")
+    want = sorted(map(tuple, search.top_k(asked, df, search.dot_block, 5).collect()))
+    every = sorted(map(tuple, search.all_scores(asked, df, search.dot_block).collect()))
+    monkeypatch.setattr(search, "QUERY_ROWS", 4)
+    assert sorted(map(tuple, search.top_k(asked, df, search.dot_block, 5).collect())) == want and len(want) == 55
+    assert sorted(map(tuple, search.all_scores(asked, df, search.dot_block).collect())) == every and len(every) == 11 * 29
+
+
+def test_jaccard_and_agreement_blocks_against_sets():
+    rng = np.random.default_rng(10)
+    texts = ["".join(rng.choice(list("ACDE"), n)) for n in (0, 3, 5, 9, 40, 41, 60)]
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    got = minhash.jaccard_block(3)(pa.array(texts[:4]), pa.array(texts))
+    for i in range(4):
+        for j in range(7):
+            both = len(sets[i] & sets[j])
+            assert got[i, j] == (both / len(sets[i] | sets[j]) if both else -np.inf)
+    a, b = rng.integers(0, 3, (70, 16)), rng.integers(0, 3, (5, 16))
+    kind = pa.list_(pa.int64())
+    got = search.agreement_block(pa.array(a.tolist(), kind), pa.array(b.tolist(), kind))
+    assert np.allclose(got, (a[:, None, :] == b[None, :, :]).mean(axis=2))
+
+
+def test_stockholm_paths_and_empty_lines(spark, tmp_path):
+    one = "# STOCKHOLM 1.0\n#=GF AC PF1.2\n#=GF AC\nA/1 " + SEQ + "\n//\n"
+    (tmp_path / "a.sto").write_text(one)
+    (tmp_path / "b.sto.gz").write_bytes(gzip.compress(one.replace("PF1", "PF2").encode()))
+    (tmp_path / "_c.sto").write_text(one)
+    for path, families in ((str(tmp_path), {"PF1", "PF2"}), (f"file://{tmp_path}/*.gz", {"PF2"}), (f"file://{tmp_path}/a.sto", {"PF1"})):
+        rows = read_stockholm(spark, path).where("sid is not null").collect()
+        assert {r["family"] for r in rows} == families and {r["gapped"] for r in rows} == {SEQ}
+
+
 FASTA = ">d1 a.1.1.1 (A:) x\nacdefghikl\n\nmnpqrstvwy\n>d2\r\nACDEFGHIKLMNPQRSTVW\r\n  >d3 b.1.2.3.4\nACDEFGHIKLMNPQRSTVWY\n>d4 c.1\nACDEFGHIKLMNPQRSTVWX\n>d5 c.1.1.1"
 
 

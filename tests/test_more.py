@@ -83,7 +83,7 @@ def test_stream_of_queries(spark, tmp_path):
 
 def test_latency(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "id long, vec array<double>")
-    t = latency.time_queries("dot", df, "id", lambda one: search.top_k_of_one(one, df, V.dot, 3), n=8)
+    t = latency.time_queries("dot", df, "id", lambda r: search.top_k_of_one(df.where(F.col("id") == r["id"]), df, V.dot, 3), n=8)
     assert t.count() == 8
     got = evaluate.median_after_warm_up(t, 5).first()
     assert got["n"] == 3 and got["median_ms"] > 0
@@ -105,7 +105,7 @@ def test_experiment_summary_has_the_production_budget(monkeypatch, spark):
 
     monkeypatch.setattr(catalog, "experiment", record)
     catalog.experiment_summary(spark, "/root/testdata/sf0.001")
-    assert seen["max_test"] == 3000  # the reference's MAX_TEST_PROTEINS
+    assert seen["max_test"] == 3000 and seen["timed"] == 100
 
 
 def test_maxsim_block_in_tiles(monkeypatch):
