@@ -22,9 +22,10 @@ def eager_join_aggregate(
     group: Sequence[str],
     left_sums: dict[str, Column] | None = None,
     right_sums: dict[str, Column] | None = None,
+    left_group: Sequence[str] = (),
 ) -> DataFrame:
-    """``left join right using (on)`` grouped by ``group`` (columns of ``right``),
-    with ``n_pairs = count(*)`` and the named sums, without forming the joined
+    """``left join right using (on)`` grouped by ``group`` (columns of ``right``) and
+    ``left_group`` (columns of ``left``), with ``n_pairs = count(*)`` and the named sums, without forming the joined
     rows.
 
     Each side is first reduced to ``(key, [group], count, sums)``, which combines
@@ -37,7 +38,7 @@ def eager_join_aggregate(
     left_sums, right_sums = left_sums or {}, right_sums or {}
     a = (
         left.where(F.col(on).isNotNull())
-        .groupBy(F.col(on).alias("_k"))
+        .groupBy(F.col(on).alias("_k"), *[F.col(g).alias(f"_f_{g}") for g in left_group])
         .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_l_{c}") for c, v in left_sums.items()])
     )
     b = (
@@ -47,7 +48,7 @@ def eager_join_aggregate(
     )
     return (
         a.join(b, "_k")
-        .groupBy(*[F.col(f"_g_{g}").alias(g) for g in group])
+        .groupBy(*[F.col(f"_g_{g}").alias(g) for g in group], *[F.col(f"_f_{g}").alias(g) for g in left_group])
         .agg(
             F.sum(F.col("_n") * F.col("_m")).alias("n_pairs"),
             *[F.sum(F.col(f"_l_{c}") * F.col("_m")).alias(c) for c in left_sums],
@@ -67,30 +68,30 @@ def rank_bins(hist: DataFrame, keys: Sequence[str], digit: str, place: Column) -
     )
 
 
-def middle_rows(rows: DataFrame, key: str, size: str, id_col: str, scratch: Scratch, id_bits: int = 16) -> DataFrame:
-    """``(key, id)``: the row of each key at place ``ceil(n/2)`` in the order of
-    ``size``, then ``id``.
+def middle_rows(rows: DataFrame, names: DataFrame, on: str, key: str, size: str, id_col: str, scratch: Scratch, id_bits: int = 16) -> DataFrame:
+    """``(key, id)``: of ``rows(on, size, id) join names(on, key) using (on)``, the row of
+    each key at place ``ceil(n/2)`` in the order of ``size``, then ``id``. ``names`` tells
+    which keys the values of ``on`` stand for, such as spellings of one label.
 
-    A radix selection over eagerly aggregated states. Rows shrink to counts per
-    ``(key, size)``; those roll up to ``n`` per key; the two states are joined and
-    a running sum finds the bin with the middle place. Only rows of that bin go
-    on, are counted by the high bits of ``id``, and so on, until the last bin (at
-    most ``2**id_bits`` distinct ids) is ranked. A key with most rows costs what
-    the others do: its states have as many rows as it has sizes.
+    An eager aggregation, then a radix selection over its states. Both inputs are reduced
+    before they are joined (:func:`eager_join_aggregate`): rows to counts per ``(on,
+    size)``, names to counts per ``(on, key)``; the products are rolled up to counts per
+    ``(key, size)``. These and their totals per key give, by a running sum, the bin with
+    the middle place. Only rows of that bin go on, are counted by the high bits of ``id``,
+    and so on, until the last bin (at most ``2**id_bits`` distinct ids) is ranked. A key
+    with most rows costs what the others do: its states have as many rows as it has sizes.
 
-    Rows with a null key, size or id are left out. Repeated ids of one key count
+    Rows with a null in any of these columns are left out. Repeated rows and names count
     as many times as they occur; the result holds each key once.
     """
-    slim = scratch.write(
-        rows.select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"), F.col(id_col).cast("long").alias("_id")).dropna(),
-        "slim",
-    )
-    by_size = slim.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_cnt"))
+    slim = rows.select(F.col(on).alias("_on"), F.col(size).cast("long").alias("_size"), F.col(id_col).cast("long").alias("_id")).dropna()
+    given = names.select(F.col(on).alias("_on"), F.col(key).alias("_key")).dropna()
+    by_size = scratch.write(eager_join_aggregate(slim, given, "_on", ["_key"], left_group=["_size"]).withColumnRenamed("n_pairs", "_cnt"), "by_size")
     totals = by_size.groupBy("_key").agg(F.ceil(F.sum("_cnt") / F.lit(2)).alias("_place"))
     bins = rank_bins(by_size.join(totals, "_key"), ["_key"], "_size", F.col("_place"))
-    bins = bins.select("_key", "_size", F.col("_rest").alias("_place"))
+    bins = given.join(bins.select("_key", "_size", F.col("_rest").alias("_place")), "_key")
 
-    inside = slim.join(bins, ["_key", "_size"]).withColumn("_high", F.shiftright("_id", id_bits))
+    inside = slim.join(bins, ["_on", "_size"]).withColumn("_high", F.shiftright("_id", id_bits))
     inside = scratch.write(inside.select("_key", "_place", "_high", "_id"), "inside")
     by_high = inside.groupBy("_key", "_place", "_high").agg(F.count(F.lit(1)).alias("_cnt"))
     last = rank_bins(by_high, ["_key"], "_high", F.col("_place")).select("_key", "_high", F.col("_rest"))

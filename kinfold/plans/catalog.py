@@ -35,10 +35,13 @@ def _queries(corpus: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The middle protein by length of each superfamily."""
+    """The middle protein by length of each superfamily. Labels are written in many ways:
+    lengths are counted by spelling, and only spellings are cleaned."""
+    scratch = Scratch(spark, "p2")
     usable = usable_proteins(table(spark, d, "proteins"), "superfamily", with_seq=False)
-    rows = usable.select(superfamily_key(F.col("superfamily")).alias("superfamily"), "pid", "n")
-    return middle_rows(rows, "superfamily", "n", "pid", Scratch(spark, "p2"))
+    rows = scratch.write(usable.select(F.col("superfamily").alias("spelling"), "pid", "n"), "rows")
+    names = rows.select("spelling").distinct().withColumn("superfamily", superfamily_key(F.col("spelling")))
+    return middle_rows(rows, scratch.write(names, "names"), "spelling", "superfamily", "n", "pid", scratch)
 
 
 def p2_hit_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -76,13 +76,20 @@ def test_middle_rows_against_sorting(spark):
     rows = [("hot" if i % 3 else f"k{i % 11}", int(rng.integers(20, 40)), int(i * 7919 % 100003)) for i in range(3000)]
     rows += [(None, 25, 1), ("k", None, 2), ("k", 25, None), ("single", 20, 5), ("even", 20, 1), ("even", 20, 2)]
     df = spark.createDataFrame(rows, "key string, size int, id long").withColumn("_cnt", F.lit(1)).withColumn("_key", F.lit("x"))
-    got = {r["key"]: r["id"] for r in middle_rows(df, "key", "size", "id", Scratch(spark, "t"), id_bits=8).collect()}
+    # spellings of a key, one that no row has, one of no key
+    names = spark.createDataFrame([("hot", "hot"), ("k", "k"), *((f"k{i}", f"k{i % 6}") for i in range(11)), ("single", "single"), ("even", "even"), ("other", "y"), ("z", None)], "key string, name string")
+    names = names.withColumn("size", F.lit(7))
+    got = {r["name"]: r["id"] for r in middle_rows(df, names, "key", "name", "size", "id", Scratch(spark, "t"), id_bits=8).collect()}
+    rows = [(f"k{int(k[1:]) % 6}" if k and k[1:].isdigit() else k, s, i) for k, s, i in rows]
     want = {}
     for k in {r[0] for r in rows if None not in r}:
         own = sorted((s, i) for key, s, i in rows if key == k and s is not None and i is not None)
         want[k] = own[(len(own) + 1) // 2 - 1][1]
     assert got == want
-    assert middle_rows(df.where("false"), "key", "size", "id", Scratch(spark, "t")).count() == 0
+    assert middle_rows(df.where("false"), names, "key", "name", "size", "id", Scratch(spark, "t")).count() == 0
+    assert middle_rows(df, names.where("false"), "key", "name", "size", "id", Scratch(spark, "t")).count() == 0
+    twice = middle_rows(df, names.unionByName(names), "key", "name", "size", "id", Scratch(spark, "t"))
+    assert {r["name"] for r in twice.collect()} == set(want) and twice.count() == len(want)
 
 
 def test_eager_join_equals_join(spark):
@@ -92,6 +99,9 @@ def test_eager_join_equals_join(spark):
     j = left.select("k", "v").join(right, "k").groupBy("g").agg(F.count("*").alias("n_pairs"), F.sum("v").alias("v"), F.sum("w").alias("w"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, j.collect()), key=repr)
     assert eager_join_aggregate(left.where("false"), right, "k", ["g"]).count() == 0
+    got = eager_join_aggregate(left, right, "k", ["g"], left_group=["v"])
+    j = left.select("k", "v").join(right, "k").groupBy("g", "v").agg(F.count("*").alias("n_pairs")).select("g", "v", "n_pairs")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, j.collect()), key=repr)
 
 
 def test_number_rows_order_and_clashes(spark):
