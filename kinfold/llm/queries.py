@@ -116,8 +116,12 @@ def _quotas(spark: SparkSession, d: str) -> QuotaSample:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    report = _quotas(spark, d).report
-    return report.where((F.col("short") > 0) & (F.col("leaf") != OTHERS)).select(F.col("leaf").alias("superfamily"))
+    """Named categories of which fewer were drawn than wanted. A category that others take
+    over from has as many as it wants, so no other is among them."""
+    quotas = _quotas(spark, d)
+    drawn = quotas.sample.groupBy("leaf").agg(F.count(F.lit(1)).alias("drawn"))
+    short = quotas.report.join(drawn, "leaf", "left").where(F.coalesce("drawn", F.lit(0)) < F.col("wanted"))
+    return short.where(F.col("leaf") != OTHERS).select(F.col("leaf").alias("superfamily"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +196,7 @@ QUERIES = {
 }
 
 USABLE_SQL = f"""
-  proteins_once as (select pid, any_value(sequence) sequence, any_value(superfamily) superfamily, any_value(source_db) source_db
+  proteins_once as (select pid, arg_max(sequence, loaded_at) sequence, arg_max(superfamily, loaded_at) superfamily, arg_max(source_db, loaded_at) source_db
                     from proteins where pid is not null group by pid),
   usable as (select pid, seq, superfamily, source_db from (select *, {clean_sequence_sql('sequence')} seq from proteins_once)
              where length(seq) between 20 and 512),
@@ -231,7 +235,7 @@ def _level_sql(n: int, up: str) -> str:
              unmet - ({cut('ur', 'us')} - {cut('ur - unmet', 'us')}) unmet from w{n})"""
 
 
-QUOTA_SQL = f"""with once as (select pid, any_value(sequence) sequence, any_value(superfamily) superfamily from proteins where pid is not null group by pid),
+QUOTA_SQL = f"""with once as (select pid, arg_max(sequence, loaded_at) sequence, arg_max(superfamily, loaded_at) superfamily from proteins where pid is not null group by pid),
   records as (select pid, {superfamily_key_sql('superfamily')} leaf from once where length({clean_sequence_sql('sequence')}) between 20 and 512),
   wishes as (select coalesce(leaf, '*') leaf, greatest(max(coalesce(min_rows, 0)), (sum(coalesce(share_per_10000, 0))::bigint * max(coalesce(sample_rows, 0)) + 9999) // 10000)::bigint wanted
     from (select *, {superfamily_key_sql('superfamily')} leaf from target_mix) where superfamily is null or leaf is not null group by 1),
