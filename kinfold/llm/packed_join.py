@@ -142,23 +142,42 @@ def hot_rows(met: DataFrame) -> DataFrame:
 def near_blocks(limit: Callable[[np.ndarray, np.ndarray], np.ndarray], words: list[str], sides: bool):
     """``(a, b)``: of two blocks of texts with a key in common, the pairs that their
     sketches don't rule out. ``limit``: of two sizes, the greatest difference of similar
-    sets."""
+    sets. Near copies have many such keys in common; only the least of them gives the
+    pair, so each text brings all of its own."""
 
-    def table(cell) -> tuple[np.ndarray, ...]:
+    def table(cell) -> tuple:
         get = lambda f: cell.field(f).to_numpy(zero_copy_only=False)
-        return get("id"), get("large").astype(bool), get("size").astype(np.int64), [get(w).view(np.uint64) for w in words]
+        keys = cell.field("keys")
+        own = np.repeat(np.arange(len(cell)), np.diff(keys.offsets.to_numpy())), keys.flatten().to_numpy()
+        return get("id"), get("large").astype(bool), get("size").astype(np.int64), [get(w).view(np.uint64) for w in words], own
+
+    def earlier(own: tuple[np.ndarray, np.ndarray], n: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ``known`` keys each text has, without and with a mark."""
+        row, key = own
+        at = np.minimum(np.searchsorted(known, key >> 1), max(len(known) - 1, 0))
+        hit = known[at] == key >> 1 if len(known) else np.zeros(len(key), bool)
+        out = np.zeros((2, n, len(known)), np.float32)
+        out[key[hit] & 1, row[hit], at[hit]] = 1
+        return out[0], out[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                swap = sides and (batch.column("key")[r].as_py() >> KEY_BITS) % 2 == 1
-                ia, la, sa, wa = table(batch.column("left")[r].values)
-                ib, lb, sb, wb = table(batch.column("right")[r].values)
+                name = batch.column("key")[r].as_py()
+                swap = sides and (name >> KEY_BITS) % 2 == 1
+                ia, la, sa, wa, ka = table(batch.column("left")[r].values)
+                ib, lb, sb, wb, kb = table(batch.column("right")[r].values)
+                known = np.intersect1d(ka[1][ka[1] >> 1 < name] >> 1, kb[1][kb[1] >> 1 < name] >> 1)
+                (ua, ma), (ub, mb) = earlier(ka, len(ia), known), earlier(kb, len(ib), known)
                 for at in range(0, len(ia), 64):
                     cut = slice(at, at + 64)
                     apart = sum(np.bitwise_count(x[cut, None] ^ y[None, :]).astype(np.int32) for x, y in zip(wa, wb, strict=True))
                     marks = (la[cut, None] ^ lb[None, :]) if sides else ~(la[cut, None] & lb[None, :])
-                    i, j = np.nonzero((apart <= limit(sa[cut, None], sb[None, :])) & marks & (ia[cut, None] != ib[None, :]))
+                    ok = (apart <= limit(sa[cut, None], sb[None, :])) & marks & (ia[cut, None] != ib[None, :])
+                    if len(known) and ok.any():
+                        met = ua[cut] @ mb.T + ma[cut] @ ub.T
+                        ok &= (met if sides else met + ua[cut] @ ub.T) < 0.5
+                    i, j = np.nonzero(ok)
                     a, b = ia[cut][i], ib[j]
                     if sides:
                         turn = la[cut][i] != swap  # the marked one goes last, or first
@@ -172,8 +191,11 @@ def met_in_blocks(hot: DataFrame, sketches: DataFrame, limit: Callable, block_se
     """``(a, b)`` of the texts of :func:`hot_rows`, with ``sketches(id, size, w...)``: each
     pair of a key's blocks of about ``block_sets`` is a row, spread over all tasks."""
     n_blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("n"))
-    items = F.collect_list(F.struct("id", "large", *sketches.columns[1:])).alias("items")
-    blocks = hot.join(n_blocks, "key").join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n"))).groupBy("key", "block").agg(items)
+    # a text has no more keys than were made for it
+    own = hot.groupBy("id").agg(F.collect_list(F.col("key") * 2 + F.col("large").cast("long")).alias("keys"))
+    items = F.collect_list(F.struct("id", "large", "keys", *sketches.columns[1:])).alias("items")
+    rows = hot.join(n_blocks, "key").join(own.join(sketches, "id"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
+    blocks = rows.groupBy("key", "block").agg(items)
     left = blocks.select("key", F.col("block").alias("i"), F.col("items").alias("left"))
     right = blocks.select("key", F.col("block").alias("j"), F.col("items").alias("right"))
     tasks = left.join(right, "key").where("i <= j").select("key", "left", "right").repartition(parts)
