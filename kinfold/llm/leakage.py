@@ -68,7 +68,7 @@ WIDE = {"ß": "ss", "ẞ": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe",
 _INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|span|font|sub|sup|mark|small|code|s|tt|q)\b[^<>\ue000]{0,300}>", re.I)
 _TAG = re.compile(r"<[/!?]?[A-Za-z][^<>\ue000]{0,500}>")
 _BROKEN = re.compile("[ÂÃ].", re.S)
-_HYPHEN = re.compile("(?<=[^\\W\\d_])[-‐­][ \t]*\r?\n[ \t]*(?=[^\\W\\d_])")
+_HYPHEN = re.compile("[-\u2010\u00ad](?<=[^\\W\\d_].)[ \t]*\r?\n[ \t]*(?=[^\\W\\d_])")  # begins with what is rare
 
 
 @cache
@@ -270,8 +270,9 @@ class Index:
         who, what = np.concatenate([own, word]), np.concatenate([term[own], near])
         order = np.argsort(who, kind="stable")
         who, what = who[order], what[order]
-        low, high = np.searchsorted(who, kind), np.searchsorted(who, kind, "right")
-        at, t = np.repeat(np.arange(len(kind)), high - low), what[_expand(low, high - low)]
+        each = np.bincount(who, minlength=len(kinds))
+        n = each[kind]
+        at, t = np.repeat(np.arange(len(kind)), n), what[_expand((np.cumsum(each) - each)[kind], n)]
         # halves of a word: the second's letters are hashed at the places after the first
         first = np.flatnonzero(~(marks[:-1] | marks[1:])) if len(marks) > 1 else np.zeros(0, np.int64)
         if len(first):
@@ -291,28 +292,31 @@ class Index:
         half of its words in order. ``edge``: where the texts begin among the words.
         Texts are parted by one word of no item."""
         length = np.diff(edge) - 1
-        impact = np.zeros(len(self.vocabulary), np.float32)
-        local = np.full(len(self.vocabulary), -1)
+        # hits before each place
+        before = np.zeros(edge[-1] + 1, np.int64)
+        np.cumsum(np.bincount(at, minlength=edge[-1]), out=before[1:])
+        local = np.full(len(self.vocabulary), -1, np.int32)
+        own = np.zeros(len(hit) + 1, np.int64)
         for b, span in enumerate(self.span):
             terms = self.block_terms[b]
-            impact[terms], local[terms] = self.block_max[b], np.arange(len(terms))
-            run = np.zeros(len(hit) + 1)
-            np.cumsum(impact[hit], dtype=np.float64, out=run[1:])
+            local[terms] = np.arange(len(terms))
+            term = local[hit]
+            local[terms] = -1
+            inside = term >= 0
+            np.cumsum(inside, out=own[1:])  # hits of the block before each hit
+            place, term = at[inside], term[inside]
+            run = np.zeros(len(term) + 1)
+            np.cumsum(self.block_max[b][term], dtype=np.float64, out=run[1:])
             step = max(1, span // 4)
             n = np.maximum(1, -(-(length - span) // step) + 1) * (length > 0)
             text = np.repeat(np.arange(len(length)), n)
             low = edge[text] + _expand(np.zeros(len(n), np.int64), n) * step
             high = np.minimum(low + span, edge[text] + length[text])
-            first, last = np.searchsorted(at, low), np.searchsorted(at, high)
+            first, last = own[before[low]], own[before[high]]
             some = np.flatnonzero(run[last] - run[first] >= self.block_threshold[b] * EPS)
-            if len(some):
-                mine = np.flatnonzero(local[hit] >= 0)
-                place, term = at[mine], local[hit[mine]]
-                first, last = np.searchsorted(mine, first[some]), np.searchsorted(mine, last[some])
-                for r, i in self._scored(b, place, term, first, last):
-                    w = some[r]
-                    yield int(text[w]), i, int(low[w]), int(high[w])
-            impact[terms], local[terms] = 0, -1
+            for r, i in self._scored(b, place, term, first[some], last[some]):
+                w = some[r]
+                yield int(text[w]), i, int(low[w]), int(high[w])
 
     def _scored(self, b: int, place: np.ndarray, term: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
         """Windows (runs of hits) and items of a block, exactly scored."""
@@ -320,6 +324,10 @@ class Index:
         items = range(base, self.blocks[b].stop)
         table = item_bits([np.searchsorted(terms, self.words[i]) for i in items], len(terms))
         need = SHARE * np.array([len(self.words[i]) for i in items])
+        lists = []
+        for i in items:
+            u, tf, weight = self.postings[i]
+            lists.append((np.searchsorted(terms, u), tf[:, None].astype(np.float32), np.stack([weight, np.ones(len(u), np.float32)])))
         own: dict[int, np.ndarray] = {}  # hits of each item
         rows = max(1, CELLS // len(terms))
         for c in range(0, len(first), rows):
@@ -328,10 +336,10 @@ class Index:
             count = count.reshape(len(terms), len(lo)).astype(np.float32)
             of, at, mask, windows = [], [], [], []
             for i in items:
-                u, tf, weight = self.postings[i]
-                held = np.minimum(count[np.searchsorted(terms, u)], tf[:, None].astype(np.float32))
-                # each place of half of the item counts, and so does its impact
-                row = np.flatnonzero((weight @ held >= self.threshold[i] * EPS) & (held.sum(axis=0) >= need[i - base]))
+                u, tf, weight = lists[i - base]
+                # half of the item's places are held, and their impacts reach its threshold
+                impact, held = weight @ np.minimum(count[u], tf)
+                row = np.flatnonzero((impact >= self.threshold[i] * EPS) & (held >= need[i - base] * EPS))
                 if not len(row):
                     continue
                 bits = table[:, i - base]
