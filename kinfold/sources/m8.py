@@ -14,6 +14,12 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.size("f") >= 3).select("line_no", F.col("f")[0].cast("long").alias("query"), F.col("f")[1].cast("long").alias("target"), F.col("f")[2].cast("double").alias("evalue"))
 
 
+def write_hits(hits: DataFrame, path: str) -> None:
+    """``query``, ``target`` and ``evalue`` as lines, a file per task; rows with a null in
+    one of them are left out, as a line would be short."""
+    fields = [F.col(c).cast("string") for c in ("query", "target", "evalue")]
+    hits.dropna(subset=["query", "target", "evalue"]).select(F.concat_ws("\t", *fields).alias("value")).write.mode("overwrite").text(path)
+
 
 def read_dataset(spark: SparkSession, name: str, path: str, clans: str | None = None) -> DataFrame:
     """Labelled proteins of a named dataset, ``scope`` (FASTA) or ``pfam`` (Stockholm

@@ -60,6 +60,46 @@ def test_align_top_k_misses_no_partner(spark):
     assert sorted(got) == sorted(want) and (0, 2, 1, 201) in want
 
 
+def affine(a, b, s):
+    """Cell by cell, a matrix each for gaps in either sequence."""
+    h, e, f = (np.full((len(a) + 1, len(b) + 1), v) for v in (0, -(10**6), -(10**6)))
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            e[i, j] = max(h[i, j - 1] - s.gap_open, e[i, j - 1] - s.gap_extend)
+            f[i, j] = max(h[i - 1, j] - s.gap_open, f[i - 1, j] - s.gap_extend)
+            h[i, j] = max(0, h[i - 1, j - 1] + s.matrix[a[i - 1], b[j - 1]], e[i, j], f[i, j])
+    return h.max()
+
+
+def test_affine_scores_against_the_tables():
+    rng = np.random.default_rng(6)
+    matrix = rng.integers(-4, 3, (20, 20))
+    matrix = np.minimum(matrix, matrix.T) + np.diag(rng.integers(4, 9, 20))
+    base = rng.integers(0, 20, 50)
+    others = [rng.integers(0, 20, n) for n in (0, 1, 30, 70)] + [base, np.r_[base[:20], base[26:]], np.r_[base[:30], rng.integers(0, 20, 7), base[30:]]]
+    for first, more in ((11, 1), (3, 3), (5, 2)):
+        s = align.Scoring(matrix, first, more)
+        for a in (base, base[:9], base[:0]):
+            assert align.affine_scores(a, others, s).tolist() == [affine(a, b, s) for b in others]
+
+
+def test_align_hits_round_trip(spark, tmp_path):
+    from kinfold.functions.sequences import RESIDUES
+    from kinfold.sources.m8 import read_hits, write_hits
+
+    lines = ["# a comment", "   " + " ".join(RESIDUES + "X")] + [" ".join([a, *("5" if a == b else "-2" for b in RESIDUES + "X")]) for a in RESIDUES + "X"]
+    matrix = align.read_matrix("\n".join(lines))
+    assert matrix.shape == (20, 20) and (np.diag(matrix) == 5).all() and matrix.sum() == 100 - 2 * 380
+    base = RESIDUES * 2
+    df = spark.createDataFrame([(1, base), (2, base[:15] + base[18:]), (3, base), (5, None), (None, base), (6, "")], "id long, seq string")
+    got = align.align_hits(df.where("id = 1"), df, align.Scoring(matrix)).orderBy("rk").collect()
+    assert [(r["target"], r["score"]) for r in got] == [(3, 200), (2, 185 - 13)]
+    assert abs(got[0]["evalue"] / (0.041 * 40 * 117 * np.exp(-0.267 * 200)) - 1) < 1e-9
+    write_hits(spark.createDataFrame([tuple(r) for r in got] + [(1, 9, None, 1, 3)], "query long, target long, evalue double, score long, rk long"), str(tmp_path / "h"))
+    back = sorted(read_hits(spark, str(tmp_path / "h")).select("query", "target", "evalue").collect(), key=lambda r: r["evalue"])
+    assert [tuple(r) for r in back] == [(r["query"], r["target"], r["evalue"]) for r in got]
+
+
 def test_kmer_index(spark, tmp_path):
     df = spark.createDataFrame([(1, "ACDEFG"), (2, "ACDEFG"), (3, "XCDEFG"), (4, "AC"), (5, None)], "id long, seq string")
     kmer_index.build(df, str(tmp_path / "ix"), 5)
