@@ -189,10 +189,18 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"), *_limit(spark, d, "piece"))
 
 
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each text that lie in pieces, overlaps counted once, and whether all
+    pieces are within the limit."""
+    limit, overlap = _limit(spark, d, "piece")
+    pieces = split_texts(table(spark, d, "documents"), limit, overlap)
+    return pieces.groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("core_char")).alias("n_chars"), (F.max("n_tokens") <= limit).alias("fits"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_splits, p1_shares, p3_found, p3_groups, p4_found, p4_by_source, p4_by_superfamily, p5_found,
-              p5_report, p5_sample, p6_found, p6_containers, p6_parts, p6_fill, p7_found, p7_items, p8_found, p8_pieces)
+              p5_report, p5_sample, p6_found, p6_containers, p6_parts, p6_fill, p7_found, p7_items, p8_found, p8_pieces, p8_cover)
 }
 
 USABLE_SQL = f"""
@@ -281,6 +289,13 @@ ORACLE = {
     round(coalesce(n, 0) / (sum(n) over ())::double - p.share, 9) error from split_plan p left join got g on g.split = p.split""",
     "p3_found": f"""with {USABLE_SQL} select a pid_a, b pid_b from common join sizes m on m.pid = a join sizes n on n.pid = b
   where c * 2 >= m.n + n.n - c""",
+    "p3_groups": f"""with recursive {USABLE_SQL},
+  near as (select a, b, c = m.n and c = n.n same from common join sizes m on m.pid = a join sizes n on n.pid = b where c * 2 >= m.n + n.n - c),
+  ends as (select a, b, same from near union all select b, a, same from near),
+  r(v, root) as (select pid, pid from sizes union select b, root from r join ends on a = v),
+  g as (select v, min(root) root from r group by v), k as (select b, min(a) a from ends where same group by b), l as (select a, count(*) n from ends group by a)
+  select s.pid, least(s.pid, coalesce(k.a, s.pid)) class_id, g.root group_id, coalesce(l.n, 0) n_links
+  from sizes s join g on g.v = s.pid left join k on k.b = s.pid left join l on l.a = s.pid""",
     "p4_found": f"{OVERLAP_SQL} select least(e, t) pid_a, greatest(e, t) pid_b from pairs",
     "p4_by_source": f"{OVERLAP_SQL} select split, source_db, sum(n)::bigint n_pairs, count(*) n_eval, count(*) filter (n > 0) n_contained from evals group by all",
     "p4_by_superfamily": f"{OVERLAP_SQL} select {superfamily_key_sql('superfamily')} superfamily, sum(n)::bigint n_pairs, count(*) n_eval, count(*) filter (n > 0) n_contained from evals group by 1",
@@ -291,5 +306,6 @@ ORACLE = {
     "p6_found": f"select doc_id from documents where {TOKENS_SQL} > (select max_tokens from size_limits where purpose = 'container')",
     "p6_parts": f"""with s as (select doc_id, {TOKENS_SQL} n, (select max_tokens from size_limits where purpose = 'container') c from documents)
   select doc_id, greatest(1, (n + c - 1) // c)::bigint n_parts, n::bigint n_tokens, true fits from s""",
+    "p8_cover": "select doc_id, length(text) n_chars, true fits from documents where text is not null",
     "p8_found": f"select doc_id from documents where {TOKENS_SQL} > (select max_tokens from size_limits where purpose = 'piece')",
 }
