@@ -31,7 +31,9 @@ band's T; they meet smaller ones only.
 
 Two unrelated sets have the same two k-mers in one part about once in millions of
 pairs, so nearly all keys occur once. They travel packed, a few bytes each, in blocks of
-a task's texts, and are sorted in numpy. The sets of a key that many have are cut into
+a task's texts, and are sorted in numpy. All keys at once would fill many times the disk
+that the texts do, so the parts of large inputs take turns: each turn makes, shuffles and
+joins the keys of its parts alone, and what it shuffled goes before the next. The sets of a key that many have are cut into
 blocks, and each pair of blocks is compared by its sketches on its own, so no task has
 more than a pair of blocks to do.
 """
@@ -49,7 +51,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import kmers as K
 from kinfold.llm.packed_join import MET, hot_rows, meet, met_in_blocks, pack, sorted_order
-from kinfold.session import Scratch
+from kinfold.session import Scratch, shuffles_dropped
 
 SKETCH_WORDS = 8
 BITS = 64 * SKETCH_WORDS
@@ -60,6 +62,8 @@ HOT_LEAST, HOT_TIMES = 64, 8
 SLOTS, RANGES = 1 << 22, 16
 #: Join keys per partition, and keys of one block of texts.
 KEYS_PER_PARTITION, BLOCK_KEYS = 1_000_000, 1_000_000
+#: Turns at most, and keys for which there is one more turn.
+TURNS, TURN_KEYS = 4, 12_000_000
 #: Sets of one key that are paired where they meet; more are cut into blocks.
 PAIRED, BLOCK_SETS = 200, 2048
 
@@ -185,11 +189,11 @@ def kmer_frequencies(texts: DataFrame, k: int) -> Frequencies:
     return Frequencies(levels, Frequencies.level(max(HOT_LEAST, HOT_TIMES * mean)), k)
 
 
-def keys_of(batch: pa.RecordBatch, k: int, t: Fraction, frequencies: Frequencies) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def keys_of(batch: pa.RecordBatch, k: int, t: Fraction, frequencies: Frequencies, turn: int = 0, turns: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(row, sig)`` of the texts of a batch (at most 2048), as in the module's
-    description."""
+    description; of ``turns`` shares of all parts those of one."""
 
-    def of_band(row, h, hot, place, size, fewest, q, salt, dropped):
+    def of_band(row, h, hot, place, size, fewest, q, parts, salt, dropped):
         # first a - T + q of each set in the global order, T the least it can share
         keep = place < (size - fewest + q)[row]
         if dropped:
@@ -198,8 +202,8 @@ def keys_of(batch: pa.RecordBatch, k: int, t: Fraction, frequencies: Frequencies
         mark = K.mix(h, salt)
         if q == 1:  # T = 1: any shared k-mer
             return row, mark
-        group = row * (q - 1) + (mark % np.uint64(q - 1)).astype(np.int64)
-        order = sorted_order(group, len(size) * (q - 1))
+        group = row * parts + (mark % np.uint64(parts)).astype(np.int64)
+        order = sorted_order(group, len(size) * parts)
         row, h, group = row[order], h[order], group[order]
         # all pairs within a part: neighbours, then at distance 2, ...
         out_row, out_sig = [], []
@@ -227,6 +231,9 @@ def keys_of(batch: pa.RecordBatch, k: int, t: Fraction, frequencies: Frequencies
     place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
     hot_count = np.bincount(row, weights=hot, minlength=len(size))
     alone = least_shared(size, -((-size * t.numerator) // t.denominator), t)  # with its smallest partner
+    # a turn's k-mers are split into its share of the q - 1 parts
+    own = ((h & np.uint64(0xFFFF)) * np.uint64(turns)) >> np.uint64(16) == turn
+    shared_out = row[own], h[own], hot[own], place[own]
     for band in bands(size):
         q = max(2, band * 5 // 8 + 1) if band > 1 else 1
         least = np.maximum(band, alone)
@@ -237,14 +244,18 @@ def keys_of(batch: pa.RecordBatch, k: int, t: Fraction, frequencies: Frequencies
         for low, high, need, salt, sets, dropped in rounds:
             if not sets.any():
                 continue
-            some = sets[row]
-            r, sig = of_band(row[some], h[some], hot[some], place[some], size, np.maximum(low, alone), need, salt, dropped)
+            few = need > 1 and need - 1 < turns  # too few parts for all turns: the first has them
+            if few and turn > 0:
+                continue
+            given = (row, h, hot, place) if few else shared_out
+            some = sets[given[0]]
+            r, sig = of_band(*[x[some] for x in given], size, np.maximum(low, alone), need, need - 1 if few else (need - 1) // turns, salt, dropped)
             large = least_shared(size, size, t) >= high
             yield r, (sig & ~np.uint64(1)) | large[r].astype(np.uint64)
 
 
-def join_keys(k: int, t: Fraction, shared, parts: int):
-    """``(part, block)``: the keys of all texts, packed."""
+def join_keys(k: int, t: Fraction, shared, parts: int, turn: int, turns: int):
+    """``(part, block)``: a turn's keys of all texts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -255,11 +266,11 @@ def join_keys(k: int, t: Fraction, shared, parts: int):
         ids, rows, sigs, texts, n = [], [], [], 0, 0
         for batch in batches:
             for some in small([batch], 500):
-                for r, sig in keys_of(some, k, t, shared.value):
+                for r, sig in keys_of(some, k, t, shared.value, turn, turns):
                     rows.append(r + texts)
                     sigs.append(sig)
                     n += len(r)
-                ids.append(np.asarray(some.column("id")))
+                ids.append(np.asarray(some.column("num")))
                 texts += some.num_rows
                 if n >= BLOCK_KEYS:
                     yield out()
@@ -303,29 +314,49 @@ class NearDuplicates:
         described = scratch.write(texts.select("id", "seq").mapInArrow(describe(k), DESCRIBED).where("size > 0"), "described")
         classes = described.groupBy("fp1", "fp2").agg(F.min("id").alias("cls"))
         self.members = scratch.write(described.select("id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select("id", "cls"), "members")
-        reps = scratch.write(described.join(self.members.where("id = cls").select("id"), "id", "left_semi").drop("fp1", "fp2"), "reps")
+        # numbers that follow one another in a file, so those of a block are short
+        numbered = described.join(self.members.where("id = cls").select("id"), "id", "left_semi").drop("fp1", "fp2")
+        reps = scratch.write(numbered.withColumn("num", F.monotonically_increasing_id()), "reps")
+        scratch.drop("described")
 
         spark = reps.sparkSession
-        n_keys = (reps.agg(F.sum("size")).first()[0] or 0) * 2
-        parts = max(spark.sparkContext.defaultParallelism, -(-n_keys // KEYS_PER_PARTITION))
-        shared = spark.sparkContext.broadcast(kmer_frequencies(reps, k))  # at most SLOTS bytes
-        keys = reps.select("id", "seq").repartition(parts).mapInArrow(join_keys(k, t, shared, parts), "part int, block binary")
-        met = scratch.write(keys.repartitionById(parts, "part").mapInArrow(meet(PAIRED), MET), "met")
-
-        slim = reps.select("id", "size", *[f"w{i}" for i in range(SKETCH_WORDS)])
+        cores = spark.sparkContext.defaultParallelism
+        with shuffles_dropped(spark):
+            n_keys = (reps.agg(F.sum("size")).first()[0] or 0) * 2
+            shared = spark.sparkContext.broadcast(kmer_frequencies(reps, k))  # at most SLOTS bytes
+        turns = max(1, min(TURNS, -(-n_keys // TURN_KEYS)))
+        parts = max(cores, -(-n_keys // (KEYS_PER_PARTITION * turns)))
+        asked = reps.select("num", "seq")
+        if asked.rdd.getNumPartitions() < cores:
+            asked = asked.repartitionByRange(cores, "num")
+        met = None
+        for turn in range(turns):
+            keys = asked.mapInArrow(join_keys(k, t, shared, parts, turn, turns), "part int, block binary")
+            found = scratch.write(keys.repartitionById(parts, "part").mapInArrow(meet(PAIRED), MET), f"met{turn}")
+            met = found if met is None else met.unionByName(found)
+
+        pairs = met.where("large is null").select("a", "b")
+        # keys of two turns may look alike: that brings more pairs to look at and loses none
+        hot = hot_rows(met)
+        with shuffles_dropped(spark):
+            cold = hot.isEmpty()
+        slim = reps.select(F.col("num").alias("id"), "size", *[f"w{i}" for i in range(SKETCH_WORDS)])
+        if not cold:
+            limit = lambda a, b: a + b - 2 * least_shared(a, b, t)
+            pairs = pairs.unionByName(met_in_blocks(hot, slim, limit, BLOCK_SETS, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = scratch.write(pairs.distinct(), "candidates")
         side = lambda s: slim.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in slim.columns[1:]])
         apart = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH_WORDS)), F.lit(0))
         num, den = t.numerator, t.numerator + t.denominator
         both = F.col("size_a") + F.col("size_b")
         most = both + 2 * F.floor(-both * F.lit(num) / F.lit(den))
-        pairs = met.where("large is null").select("a", "b").distinct()
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
-        hot = hot_rows(met)
-        if not hot.isEmpty():
-            limit = lambda a, b: a + b - 2 * least_shared(a, b, t)
-            near = near.unionByName(met_in_blocks(hot, slim, limit, BLOCK_SETS, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        seq = lambda s: reps.select(F.col("id").alias(s), F.col("seq").alias(f"seq_{s}"))
-        found = near.join(seq("a"), "a").join(seq("b"), "b").select("a", "b", "seq_a", "seq_b")
+        near = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b"), "near")
+        # sketches rule out nearly all chance pairs; only the texts of others are joined twice
+        ends = near.select(F.explode(F.array("a", "b")).alias("num")).distinct()
+        some = scratch.write(reps.select("num", "id", "seq").join(ends, "num", "left_semi"), "some")
+        scratch.drop("reps")
+        text = lambda s: some.select(F.col("num").alias(s), F.col("id").alias(f"id_{s}"), F.col("seq").alias(f"seq_{s}"))
+        found = near.join(text("a"), "a").join(text("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "seq_a", "seq_b")
         self.pairs = scratch.write(found.mapInArrow(exact_jaccard(k, t), "a long, b long, similarity double"), "pairs")
 
     def all_pairs(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """An equi-join of many short keys, packed for the shuffle and sorted in numpy.
 
-Each task packs the keys of its texts into one block per partition: the texts' ids once,
-and five bytes a key. A partition unpacks its blocks, sorts the keys and pairs the texts
+Each task packs the keys of its texts into one block per partition: the texts' ids once, as
+short as they lie close together, and four bytes a key. A partition unpacks its blocks, sorts the keys and pairs the texts
 of equal ones. A key has a mark: of two texts with a mark no pair is formed, or, in a
 join of two sides, of two with the same mark. Keys that many texts have are not paired
 there: their texts are cut into blocks, and each pair of blocks is a task of its own, in
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import kmers as K
 
-#: Bits of a key beside its partition's number and its mark.
-KEY_BITS = 39
+#: Bits of a key beside its partition's number and its mark. Of a million keys of one
+#: partition, a few hundred pairs agree by chance.
+KEY_BITS = 31
 #: Pairs that are held, and rows sent on, at once.
 HELD, SENT = 2_000_000, 500_000
 BLOCKS, MET = "part int, block binary", "a long, b long, large boolean"
-_MASK, _LOW, _ONE, _FAR = np.uint64((1 << KEY_BITS) - 1), np.uint64(0xFFFFFFFF), np.uint64(1), np.uint64(32)
+_MASK, _ONE = np.uint64((1 << KEY_BITS) - 1), np.uint64(1)
 
 
 def sorted_order(values: np.ndarray, bound: int) -> np.ndarray:
@@ -39,33 +40,40 @@ def sorted_order(values: np.ndarray, bound: int) -> np.ndarray:
     return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers in as few bytes as the greatest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def pack(ids: np.ndarray, row: np.ndarray, part: np.ndarray, key: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
     """A block of keys for each partition: its texts' ids, how many keys each has, and
-    40 bits of each key and mark. ``row``: a key's text as a place in ``ids``."""
+    32 bits of each key and mark. ``row``: a key's text as a place in ``ids``."""
     part = part.astype(np.int64)
     order = sorted_order(part * len(ids) + row, (int(part.max(initial=0)) + 1) * len(ids))
     part, row = part[order], row[order]
-    word = (((key[order] & _MASK) << _ONE) | mark[order]).astype(np.uint64)
+    word = (((key[order] & _MASK) << _ONE) | mark[order]).astype(np.uint32)
     names, blobs = [], []
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
     for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        r, w = row[low:high], word[low:high]
+        r = row[low:high]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        count = np.diff(np.r_[first, len(r)])
-        head = np.array([len(first), len(r)], np.int64)
-        blobs.append(b"".join(x.tobytes() for x in (head, ids[r[first]].astype(np.int64), count.astype(np.uint32), (w & _LOW).astype(np.uint32), (w >> _FAR).astype(np.uint8))))
+        some = ids[r[first]].astype(np.int64)
+        # from the least id on; the difference may need all 64 bits
+        far, count = _short(some.view(np.uint64) - np.uint64(int(some.min()) % 2**64)), _short(np.diff(np.r_[first, len(r)]))
+        head = np.array([len(first), len(r), some.min(), far.itemsize, count.itemsize], np.int64)
+        blobs.append(b"".join(x.tobytes() for x in (head, far, count, word[low:high])))
         names.append(int(part[low]))
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids and words (key and mark) of a block."""
-    texts, n = np.frombuffer(blob, np.int64, 2)
-    ids = np.frombuffer(blob, np.int64, texts, 16)
-    count = np.frombuffer(blob, np.uint32, texts, 16 + 8 * texts)
-    low = np.frombuffer(blob, np.uint32, n, 16 + 12 * texts)
-    high = np.frombuffer(blob, np.uint8, n, 16 + 12 * texts + 4 * n)
-    return np.repeat(ids, count), low.astype(np.uint64) | (high.astype(np.uint64) << _FAR)
+    texts, n, least, wide, some = np.frombuffer(blob, np.int64, 5).tolist()
+    far = np.frombuffer(blob, f"u{wide}", texts, 40)
+    count = np.frombuffer(blob, f"u{some}", texts, 40 + wide * texts)
+    word = np.frombuffer(blob, np.uint32, n, 40 + (wide + some) * texts)
+    ids = (far.astype(np.uint64) + np.uint64(least % 2**64)).view(np.int64)
+    return np.repeat(ids, count), word.astype(np.uint64)
 
 
 def meet(paired: int, sides: bool = False):

@@ -156,6 +156,30 @@ def test_near_duplicates_lose_no_pair(spark, t):
     assert {i: r["group_id"] for i, r in per.items()} == up
 
 
+def test_keys_take_turns_and_leave_nothing_on_disk(spark, monkeypatch):
+    """With all turns no pair is lost, a turn has its share of the keys, and what was shuffled is gone."""
+    import time
+
+    blocks = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    rows = family(3)
+    reps = spark.createDataFrame(rows, "id long, seq string")
+    monkeypatch.setattr(near_duplicates, "TURN_KEYS", 100)
+    before = blocks()
+    near = NearDuplicates(reps, scratch(spark))
+    until = time.time() + 20
+    while blocks() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not blocks() - before
+    sets = {i: grams(s) for i, s in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert {(r["id_a"], r["id_b"]) for r in near.all_pairs().collect()} == want
+    rnd = random.Random(4)
+    texts = pa.RecordBatch.from_arrays([pa.array(["".join(rnd.choice(RESIDUES) for _ in range(200)) for _ in range(50)])], names=["seq"])
+    known = near_duplicates.kmer_frequencies(reps, 5)
+    count = lambda *turn: sum(len(r) for r, _ in near_duplicates.keys_of(texts, 5, Fraction(1, 2), known, *turn))
+    assert all(count(i, 4) < 0.4 * count() for i in range(4))
+
+
 def test_no_pair_is_lost_behind_a_shared_domain(spark, monkeypatch):
     """Long and short domains in many texts; near copies with and without them."""
     rnd = random.Random(11)
