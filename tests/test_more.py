@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kinfold.functions import vectors as V
@@ -60,6 +61,42 @@ def test_align_top_k_misses_no_partner(spark):
     assert sorted(got) == sorted(want) and (0, 2, 1, 201) in want
 
 
+def test_align_top_k_in_java_machines(spark, monkeypatch):
+    """Same rows as numpy's: other letters, several bytes a letter, ties, scores beyond a
+    byte, fewer than k partners, more than one block of queries."""
+    from kinfold.operators import align_jvm
+
+    assert align_jvm.ready(spark)
+    rng = np.random.default_rng(9)
+    text = lambda x: "".join("ACDEFGHIKLMNPQRSTVWY"[c] for c in x)
+    base = rng.integers(0, 20, 300)
+    rows = [text(rng.integers(0, 20, n)) for n in rng.integers(1, 90, 120)]
+    rows += [text(base)] * 3 + [text(np.r_[base[:124], rng.integers(0, 20, 9)]), text(base[:125]), text(base[:126]), text(np.r_[base[:150], base[157:]])]
+    rows += ["", None, "A", "XXBXXB", "acd", "\u00c5\u00c5C\u20acD", "W" * 40, "W" * 200]
+    df = spark.createDataFrame([(7 * i - 300, x) for i, x in enumerate(rows)] + [(None, "ACD")], "id long, seq string")
+    monkeypatch.setattr(search, "QUERY_ROWS", 30)
+    for k, queries in ((5, df.where("id % 2 = 0")), (500, df.where("id > 480"))):
+        got = align.align_top_k(queries, df, k)
+        with monkeypatch.context() as m:
+            m.setattr(align_jvm, "ready", lambda _: False)
+            want = align.align_top_k(queries, df, k)
+        assert got.dtypes == want.dtypes
+        got, want = sorted(map(tuple, got.collect())), sorted(map(tuple, want.collect()))
+        assert got == want and max(r[2] for r in got) > 500
+
+
+def test_align_in_java_machines_against_the_table(spark):
+    from kinfold.operators import align_jvm
+
+    rng = np.random.default_rng(10)
+    rows = [rng.integers(0, 4, n) for n in (1, 3, 4, 5, 30, 33, 64, 70)] + [rng.integers(0, 2, 150) for _ in range(3)]
+    text = lambda x: "".join("ACDE"[c] for c in x)
+    df = spark.createDataFrame([(i, text(x)) for i, x in enumerate(rows)], "id long, vec string").coalesce(1)
+    asked = df.toPandas()
+    got = align_jvm.found(asked["id"].to_numpy(), pa.array(asked["vec"]), df, 100, skip_self=False).collect()
+    assert {(r["qid"], r["did"]): r["score"] for r in got} == {(i, j): s for i, a in enumerate(rows) for j, b in enumerate(rows) if (s := brute(a, b))}
+
+
 def affine(a, b, s):
     """Cell by cell, a matrix each for gaps in either sequence."""
     h, e, f = (np.full((len(a) + 1, len(b) + 1), v) for v in (0, -(10**6), -(10**6)))
