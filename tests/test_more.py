@@ -97,6 +97,47 @@ def test_align_in_java_machines_against_the_table(spark):
     assert {(r["qid"], r["did"]): r["score"] for r in got} == {(i, j): s for i, a in enumerate(rows) for j, b in enumerate(rows) if (s := brute(a, b))}
 
 
+def test_align_bits_leave_out_no_pair_that_counts(spark):
+    """Enough rows that the tables of bits decide: lanes of more than one register, scores at
+    every bound, ties by id, partners far apart; all rows as the full tables have them."""
+    from kinfold.operators import align_jvm
+
+    rng = np.random.default_rng(11)
+    some = lambda n, kinds=20: rng.integers(0, kinds, n)
+    rows = [some(n) for n in rng.integers(20, 60, 1500)] + [some(n, 4) for n in rng.integers(1, 40, 60)]
+    asked = [some(40), some(41), some(42), some(30, 4), some(7), np.r_[rows[0][:12], rows[1][:9]]]
+    for a in asked[:3]:  # two sparse partners, and shifted ones
+        rows += [np.where(np.arange(len(a)) % 3 == 2, (a + 1) % 20, a), np.where(np.arange(len(a)) % 2 == 1, (a + 1) % 20, a), np.r_[some(5), a[:9], some(2), a[9:20]], np.r_[a[:8], a[10:17]]]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    text = lambda x: "".join("ACDEFGHIKLMNPQRSTVWY"[c] for c in x)
+    df = spark.createDataFrame([(i, text(x)) for i, x in enumerate(rows)], "id long, seq string")
+    queries = spark.createDataFrame([(10**6 + i, text(x)) for i, x in enumerate(asked)], "id long, seq string")
+    for parts in (1, 3):  # one after another, and with what others found
+        corpus = df.withColumnRenamed("seq", "vec").repartitionByRange(parts, "id").sortWithinPartitions("id")
+        for k in (1, 5, 40):
+            found = align_jvm.found(np.arange(10**6, 10**6 + len(asked)), pa.array([text(x) for x in asked]), corpus, k)
+            got = search.ranked(found, k).collect()
+            want = []
+            for i, a in enumerate(asked):
+                best = sorted((-s, j) for j, s in enumerate(align.local_scores(a, rows).tolist()) if s)[:k]
+                want += [(10**6 + i, j, -s, rk) for rk, (s, j) in enumerate(best, 1)]
+            assert sorted((r["qid"], r["did"], int(r["score"]), r["rk"]) for r in got) == sorted(want)
+    assert len(align.align_top_k(queries, df, 5).collect()) == 5 * len(asked)
+
+
+def test_align_tasks_share_what_they_found(spark):
+    """Later tasks give only what may still be among the best, not k rows for each query."""
+    from kinfold.operators import align_jvm
+
+    rng = np.random.default_rng(12)
+    texts = ["".join("ACDEFGHIKLMNPQRSTVWY"[c] for c in rng.integers(0, 20, 40)) for _ in range(1600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, vec string").repartitionByRange(80, "id")
+    found = align_jvm.found(np.arange(4), pa.array(texts[:4]), df, 10)
+    rows = found.collect()
+    assert len(rows) < 80 * 10 * 4 / 2 and len(set(rows)) == len(rows)
+    assert search.ranked(found, 10).count() == search.ranked(found, 10).count() == 40  # a search may run again
+
+
 def affine(a, b, s):
     """Cell by cell, a matrix each for gaps in either sequence."""
     h, e, f = (np.full((len(a) + 1, len(b) + 1), v) for v in (0, -(10**6), -(10**6)))
