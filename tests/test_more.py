@@ -114,7 +114,7 @@ def test_align_bits_leave_out_no_pair_that_counts(spark):
     queries = spark.createDataFrame([(10**6 + i, text(x)) for i, x in enumerate(asked)], "id long, seq string")
     for parts in (1, 3):  # one after another, and with what others found
         corpus = df.withColumnRenamed("seq", "vec").repartitionByRange(parts, "id").sortWithinPartitions("id")
-        for k in (1, 5, 40):
+        for k in (1, 2, 3, 5, 40):
             found = align_jvm.found(np.arange(10**6, 10**6 + len(asked)), pa.array([text(x) for x in asked]), corpus, k)
             got = search.ranked(found, k).collect()
             want = []
